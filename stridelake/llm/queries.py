@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, packing, transport_stream
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_transport_stream")
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport_stream.store_and_probe(table(spark, sf_dir, "documents"))
