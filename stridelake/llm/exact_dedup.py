@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import HEAVY_KEYS, Workspace, flagged, key_filter, lower_ascii
+from .shared import Workspace, flagged, join_groups, key_filter, lower_ascii
 
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#_digest": "true"}
 
@@ -109,15 +109,8 @@ def entries(index: MergeIndex, df: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _with_winner(runs: DataFrame, level: DataFrame) -> DataFrame:
-    """Join entries to their level row. Digests with 1/HEAVY_KEYS of all rows are at most HEAVY_KEYS: those
-    are broadcast, so no hot key is shuffled; the others are small groups. Single entries need no join partner."""
-    keys = ["_digest", "_part"]
-    least = max(2, (level.agg(F.sum("_entries")).first()[0] or 0) // HEAVY_KEYS + 1)
-    heavy = F.broadcast(level.where(F.col("_entries") >= least).select(*keys, F.col("_keep").alias("_k1"), F.col("_entries").alias("_e1")))
-    first = runs.join(heavy, keys, "left")
-    hot = first.where("_e1 is not null").select("_id", *keys, F.col("_k1").alias("_keep"), F.col("_e1").alias("_entries"))
-    rest = first.where("_e1 is null").select("_id", *keys).join(level.where(F.col("_entries") < least), keys)
-    rows = hot.unionByName(rest.select("_id", *keys, "_keep", "_entries"))
+    """Join entries to their level row and mark the one that stays."""
+    rows = join_groups(runs, level, ["_digest", "_part"], "_entries")
     winner = F.col("_id").eqNullSafe(F.col("_keep"))
     # Of rows that repeat the winning identifier, the first stays; these are few, and told apart by a count.
     twice = Window.partitionBy("_digest", "_part", "_id").orderBy(F.lit(0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, transport_stream
+from . import exact_dedup, mixing, packing, transport_stream, warc_bundle
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_transport_stream")
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.store_and_probe(table(spark, sf_dir, "documents"))
+
+
+@_query("op2_warc_bundle")
+def op2_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundle.archive_and_read(table(spark, sf_dir, "pages"))

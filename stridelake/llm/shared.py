@@ -140,3 +140,18 @@ def ranked(df: DataFrame, group: Sequence[str], order: Column, ties: Sequence[Co
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, how: str = "inner") -> DataFrame:
+    """Join rows to their group's one row in ``groups``, whose ``size`` is its number of rows.
+
+    Groups of 1/HEAVY_KEYS of all rows or more are HEAVY_KEYS at most, so these may be broadcast; no other
+    group is large, so the shuffle of the rest has no hot key.
+    """
+    least = max(2, (groups.agg(F.sum(size)).first()[0] or 0) // HEAVY_KEYS + 1)
+    extra = [c for c in groups.columns if c not in keys]
+    heavy = F.broadcast(groups.where(F.col(size) >= least).select(*keys, F.struct(*extra).alias("_heavy")))
+    first = rows.join(heavy, list(keys), "left")
+    hot = first.where("_heavy is not null").select(*rows.columns, "_heavy.*")
+    rest = first.where("_heavy is null").drop("_heavy").join(groups.where(F.col(size) < least), list(keys), how)
+    return hot.select(*rows.columns, *extra).unionByName(rest.select(*rows.columns, *extra))
