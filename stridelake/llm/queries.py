@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_paths, mixing, packing, transport_stream, warc_bundle
+from . import exact_dedup, gam, html_paths, mixing, packing, transport_stream, warc_bundle
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op2_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_html_paths")
 def op9_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_paths.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op8_additive_model")
+def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
