@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, gam, html_paths, mixing, packing, transport_stream, warc_bundle
+from . import exact_dedup, gam, html_paths, mixing, ngram_join, packing, transport_stream, warc_bundle
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op9_html_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_additive_model")
 def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
