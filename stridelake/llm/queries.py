@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, gam, html_paths, mixing, ngram_join, packing, transport_stream, warc_bundle
+from . import exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, transport_stream, warc_bundle
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,37 @@ def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op7_line_runs",
+    r"""
+    with lines as (
+        select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
+        from documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) as g(i)
+    ),
+    pairs as (
+        select *, lead(line) over (partition by doc_id order by i) as next, regexp_matches(line, '[^\x20\x09-\x0D]') as word,
+            regexp_matches(lead(line) over (partition by doc_id order by i), '[^\x20\x09-\x0D]') as next_word
+        from lines
+    ),
+    later as (
+        select doc_id, i from (
+            select doc_id, i, row_number() over (partition by line, next order by doc_id, i) as nth from pairs where word and next_word
+        ) where nth > 1
+    ),
+    gone as (select doc_id, i from later union select doc_id, i + 1 from later),
+    marked as (select l.*, g.i is not null as deleted from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i),
+    starts as (
+        select doc_id, i, sum(case when before is null or before < i - 1 then 1 else 0 end) over (partition by doc_id order by i) as run
+        from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from marked where deleted)
+    ),
+    runs as (select doc_id, count(*) as n_runs, max(n) as longest_run from (select doc_id, run, count(*) as n from starts group by doc_id, run) group by doc_id)
+    select m.doc_id, count(*) as n_lines, count(*) filter (where deleted) as n_deleted,
+        coalesce(max(r.n_runs), 0) as n_runs, coalesce(max(r.longest_run), 0) as longest_run,
+        sha256(coalesce(string_agg(line, chr(10) order by m.i) filter (where not deleted), '')) as kept_sha256
+    from marked m left join runs r on r.doc_id = m.doc_id group by m.doc_id
+    """,
+)
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.run_report(table(spark, sf_dir, "documents"))
