@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, transport_stream, warc_bundle
+from . import exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, pii, transport_stream, warc_bundle
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.run_report(table(spark, sf_dir, "documents"))
+
+
+@_query("op5_contextual_pii")
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
