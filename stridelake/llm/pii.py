@@ -4,7 +4,8 @@ Plain patterns find the certain entities (e-mail addresses, IP addresses, card a
 seeds. The words around a seed make lexical patterns, and the same patterns around other identifier-like
 strings link those to the seeds' kind. Spark scores this graph of patterns and instances in rounds: a pattern's
 confidence in a kind is the mean score of its instances that could be of that kind, smoothed, and an unseen instance's
-score is the noisy-or of its patterns. Instances that end above ``least_score`` are personal data wherever they occur.
+score is the noisy-or of its patterns. Instances that end above ``least_score`` are personal data wherever they occur,
+and so are strings that spell a seed in another way.
 
 Spans are (kind, start, end) in code points, end exclusive. The seeds' spans always stay.
 
@@ -94,6 +95,14 @@ def possible_kinds(value: str) -> list[int]:
     return [k for k, yes in ((1, value.count(".") == 3 and digits <= 12), (2, 13 <= digits <= 19), (3, 7 <= digits <= 15)) if yes]
 
 
+def same_value(value: str) -> str:
+    """What makes two strings the same identifier: the digits of a number, the lower-case letters of anything else."""
+    value = " ".join(value.lower().split())
+    if re.search("[a-z@:]", value) or value.count(".") == 3:
+        return value
+    return _NOT_DIGIT.sub("", value)
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns of a slot: the three or two words before it, and one to either side, on its line."""
     before = text[max(0, start - _CONTEXT) : start].rpartition("\n")[2]
@@ -114,7 +123,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 def slots(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str, list[str]]]]:
     """The certain spans, and (kind or -1, start, end, value, patterns) of every seed and candidate."""
     spans = base_spans(text)
-    out = [(k, a, b, text[a:b].lower(), contexts(text, a, b)) for k, a, b in spans]
+    out = [(k, a, b, same_value(text[a:b]), contexts(text, a, b)) for k, a, b in spans]
     if _DIGIT.search(text) or any(sign in text for sign in ("@", "[at]", "(at)", " dot ", "[dot]", "(dot)")):
         taken = sorted((a, b) for _, a, b in spans)
         i = 0
@@ -125,7 +134,7 @@ def slots(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
             if any(x < b and a < y for x, y in taken[i : i + 8]):
                 continue
             if possible_kinds(m[0].lower()):
-                out.append((-1, a, b, " ".join(m[0].lower().split()), contexts(text, a, b)))
+                out.append((-1, a, b, same_value(m[0]), contexts(text, a, b)))
     return spans, out
 
 
@@ -176,7 +185,9 @@ def discovered(work: Workspace, found: DataFrame, rounds: int = 3, least_score:
         trust = work.put(trust, f"trust-{k}")
         voted = join_groups(links, trust, ["pattern", "kind"], "n")
         scores = work.put(voted.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score")), f"scores-{k}")
-    best = scores.where(F.col("score") >= least_score).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("x"))
+    spelled = slot.where("kind < 0").select("value").distinct().withColumn("kind", F.explode(F.expr(_kinds_of("value"))))
+    spelled = spelled.join(slot.where("kind >= 0").select("value", "kind").distinct(), ["value", "kind"]).withColumn("score", F.lit(1.0))
+    best = scores.where(F.col("score") >= least_score).unionByName(spelled).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("x"))
     return work.put(best.select("value", (-F.col("x.col2")).alias("kind")), "discovered")
 
 
