@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,8 @@ def prices(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataF
 
 
 def returns(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataFrame:
-    return pn.indexed(pn.log_returns(pn.clean_prices(prices(spark, sf_dir, panel))))
+    """The indexed returns; kept in memory (or on disk), as a query's branches share them and scans are dear."""
+    return pn.indexed(pn.log_returns(pn.clean_prices(prices(spark, sf_dir, panel)))).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # --- SQL fragments -------------------------------------------------------------------------------------------
@@ -362,10 +364,15 @@ def hold_weights_asof(spark, sf_dir):
     return rounded(pf.hold_asof(r.select("t", "asset_idx", "r"), w, ro.calendar(ro.n_days(r), LOOKBACK, EVERY)))
 
 
-@_query("backtest_inverse_variance", _sql(f"select {_FIVE} from m", _win(), _COV, _INVERSE, _HELD, _metrics("held", "", "m")))
+# Weekly unit prices jump about; this portfolio's growth has 48 digits, so its logarithm is compared.
+_LOG_FIVE = ", ".join(_r(m, m) for m in mt.METRICS[:-1]) + ", " + _r("ln(1 + cagr)", "log_growth")
+
+
+@_query("backtest_inverse_variance", _sql(f"select {_LOG_FIVE} from m", _win(), _COV, _INVERSE, _HELD, _metrics("held", "", "m")))
 def backtest_inverse_variance(spark, sf_dir):
     r, _, w = _inverse(spark, sf_dir)
-    return rounded(mt.metric_summary(pf.hold(r, w, LOOKBACK, EVERY), []))
+    found = mt.metric_summary(pf.hold(r, w, LOOKBACK, EVERY), [])
+    return rounded(found.select(*mt.METRICS[:-1], F.log(1 + F.col("cagr")).alias("log_growth")))
 
 
 _QUADRATIC = "a.rb_seq = c.rb_seq and a.asset_idx = c.i join w b on b.rb_seq = c.rb_seq and b.asset_idx = c.j"
