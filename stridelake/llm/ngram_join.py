@@ -136,43 +136,60 @@ def prefixes(work: Workspace, sets: DataFrame) -> DataFrame:
     return work.put(posted.select(F.col("x.t").alias("t"), "s", "n", "shared", (F.col("own") + F.col("k")).alias("pos"), "l"), "prefixes")
 
 
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose similarity is large enough, by their whole sets."""
+def overlaps(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """u, v, both (shared shingles of the whole sets) and similar (whether that is enough)."""
     a = sets.select(F.col("s").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     b = sets.select(F.col("s").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    both = pairs.select("u", "v").join(b, "v").join(a, "u").withColumn("both", F.size(F.array_intersect("tu", "tv")).cast("long"))
-    return both.where(_enough("both", "nu", "nv")).select("u", "v")
+    found = pairs.select("u", "v").join(b, "v").join(a, "u").withColumn("both", F.size(F.array_intersect("tu", "tv")).cast("long"))
+    return found.select("u", "v", "both", F.expr(_enough("both", "nu", "nv")).alias("similar"))
 
 
 def central_pairs(posted: DataFrame) -> DataFrame:
-    """Each set with the set that is central to most of its posting lists: that with the least shingles of its own."""
+    """Each set with one that is central to its posting lists: a list's centre has the least shingles of its own, and of
+    its lists' centres a set takes that of most postings, so that a family meets in few centres."""
     centre = posted.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct((F.col("shared") / F.col("n")).alias("q"), "n", "s")).alias("c")).where("m > 1").select("t", "m", F.col("c.s").alias("v"), F.col("c.n").alias("nv"))
     near = join_groups(posted, centre, ["t"], "m").where("s != v").where(_enough("least(n, nv)", "n", "nv"))
     votes = near.groupBy("s", "v").agg(F.count(F.lit(1)).alias("k"))
-    return votes.groupBy("s").agg(F.max(F.struct("k", "v")).alias("c")).select(F.col("s").alias("u"), F.col("c.v").alias("v"))
+    known = votes.groupBy("v").agg(F.sum("k").alias("fame"), F.count(F.lit(1)).alias("fans"))
+    return join_groups(votes, known, ["v"], "fans").groupBy("s").agg(F.max(F.struct("fame", "v")).alias("c")).select(F.col("s").alias("u"), F.col("c.v").alias("v"))
 
 
-def open_pairs(posted: DataFrame, rooted: DataFrame) -> DataFrame:
-    """All pairs with enough matches in their prefixes that aren't in one component.
+def _cross(rows: DataFrame, key: str, condition: str) -> DataFrame:
+    """Pairs a, b of rows with one key and different components. Rows of a key's largest component meet only
+    rows of other components, and a key within one component is left out."""
+    sizes = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("m"))
+    top = sizes.groupBy(key).agg(F.max(F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("rows")).where("parts > 1").select(key, F.col("x.root").alias("top"), "rows")
+    lists = join_groups(rows, top, [key], "rows")
+    return lists.where("root != top").alias("a").join(lists.alias("b"), F.expr(f"a.{key} = b.{key} and a.root != b.root and (b.root = b.top or a.s < b.s) and {condition}"))
 
-    Of a posting list, sets of its largest component meet only sets of other components; a list within one component is left out.
+
+def open_pairs(posted: DataFrame, rooted: DataFrame, met: DataFrame) -> DataFrame:
+    """All pairs with enough matches in their prefixes that aren't in one component and that no bound rules out.
+
+    A set that has at least half of its shingles from its centre belongs to the centre's family. Two sets a and b of a
+    family share at most as many shingles as the lesser has with the centre, and as many besides as the lesser has
+    outside of it in common with anyone: pairs that this leaves are listed once a family, others by their matches.
     """
-    rows = posted.join(rooted, posted["s"] == rooted["node"], "left").select(*posted.columns, F.coalesce("root", "s").alias("root"))
-    sizes = rows.groupBy("t", "root").agg(F.count(F.lit(1)).alias("m"))
-    top = sizes.groupBy("t").agg(F.max(F.struct("m", "root")).alias("x"), F.count(F.lit(1)).alias("parts"), F.sum("m").alias("rows")).where("parts > 1").select("t", F.col("x.root").alias("top"), "rows")
-    lists = join_groups(rows, top, ["t"], "rows")
+    fans = met.groupBy("v").agg(F.count(F.lit(1)).alias("fans"))
+    compared = join_groups(met.select("u", "v", "both"), fans, ["v"], "fans").select(F.col("u").alias("s"), F.struct("fans", F.col("v").alias("h"), F.col("both").alias("i")).alias("c"))
+    centres = fans.select(F.col("v").alias("s"), F.struct("fans", F.col("v").alias("h"), F.lit(None).cast("long").alias("i")).alias("c"))
+    family = compared.unionByName(centres).groupBy("s").agg(F.max("c").alias("c")).select("s", "c.h", "c.i")
+    sized = posted.join(family, "s", "left").withColumn("i", F.when(F.col("h") == F.col("s"), F.col("n")).otherwise(F.col("i"))).withColumn("h", F.when(F.expr("i * 2 >= n"), F.col("h")))
+    rows = sized.join(rooted, sized["s"] == rooted["node"], "left").select(*sized.columns, F.coalesce("root", "s").alias("root"))
+    within = "least(a.i, b.i) + least(greatest(a.shared - a.i, 0L), greatest(b.shared - b.i, 0L))"
+    members = rows.where("h is not null").select("s", "n", "shared", "h", "i", "root").distinct()
+    inside = _cross(members, "h", f"{_enough(within, 'a.n', 'b.n')} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}")
     base = lambda x: f"({x}n - {_least_overlap(x + 'n')})"
-    a, b = lists.where("root != top").alias("a"), lists.alias("b")
     l = "least(a.l, b.l)"  # noqa: E741
-    met = a.join(
-        b,
-        F.expr(
-            f"""a.t = b.t and a.root != b.root and (b.root = b.top or a.s < b.s)
-            and a.pos < {base('a.')} + {l} and b.pos < {base('b.')} + {l} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}"""
-        ),
+    across = _cross(
+        rows,
+        "t",
+        f"""not coalesce(a.h = b.h, false) and a.pos < {base('a.')} + {l} and b.pos < {base('b.')} + {l}
+        and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}""",
     )
-    matched = met.select(F.expr("least(a.s, b.s)").alias("u"), F.expr("greatest(a.s, b.s)").alias("v"), F.expr(l).alias("l"))
-    return matched.groupBy("u", "v", "l").agg(F.count(F.lit(1)).alias("k")).where("k >= l").select("u", "v")
+    pair = [F.expr("least(a.s, b.s)").alias("u"), F.expr("greatest(a.s, b.s)").alias("v")]
+    matched = across.select(*pair, F.expr(l).alias("l")).groupBy("u", "v", "l").agg(F.count(F.lit(1)).alias("k")).where("k >= l")
+    return matched.select("u", "v").unionByName(inside.select(*pair))
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,9 +202,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = _sets(some, "doc_id", "text", "n s tokens").join(possible.select("s"), "s", "left_semi").dropDuplicates(["s"])
     sets = work.put(sets.select("s", "n", "tokens"), "sets")
     posted = prefixes(work, sets)
-    edges = work.put(verified(sets, work.put(central_pairs(posted), "central")), "edges")
+    met = work.put(overlaps(sets, work.put(central_pairs(posted), "central")), "met")
+    edges = met.where("similar").select("u", "v")
     rooted = work.put(components(work, edges, "hub"), "rooted")
-    more = work.put(verified(sets, work.put(open_pairs(posted, rooted), "open")), "more")
+    more = work.put(overlaps(sets, work.put(open_pairs(posted, rooted, met), "open")).where("similar").select("u", "v"), "more")
     if not more.isEmpty():
         rooted = work.put(components(work, edges.unionByName(more), "all"), "rooted-all")
     # Components are told by their least identifier; a component's rows are pre-aggregated to one a set.
