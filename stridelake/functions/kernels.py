@@ -135,7 +135,7 @@ def metrics(r: np.ndarray, rf_annual: float = 0.0, periods: int = PERIODS) -> di
         "annual_return": annual_return,
         "annual_vol": annual_vol,
         "sharpe": (annual_return - rf_annual) / annual_vol if annual_vol >= 1e-10 else nan,
-        "max_drawdown": float(((wealth - peak) / peak).min()),
+        "max_drawdown": float(((wealth - peak) / peak).min()) if (peak != 0).all() else nan,
         "cagr": float(wealth[-1] ** (periods / len(r)) - 1) if wealth[-1] > 0 else nan,
     }
 

@@ -38,8 +38,8 @@ def _query(name: str, oracle: str | None = None):
     return add
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), DIGITS).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
 
 def prices(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataFrame:
@@ -158,9 +158,9 @@ def panel_missing_fraction(spark, sf_dir):
     return rounded(pn.missing_fraction(prices(spark, sf_dir)))
 
 
-@_query("panel_clean_prices", "with " + _panel_sql("type_day") + "," + _CLEAN + f" select dt, asset, {_r('price', 'price')} from clean")
+@_query("panel_clean_prices", "with " + _panel_sql("type_day") + "," + _CLEAN + " select dt, asset, round(price, 5) + 0.0 as price from clean")
 def panel_clean_prices(spark, sf_dir):
-    return rounded(pn.clean_prices(prices(spark, sf_dir, "type_day")))
+    return rounded(pn.clean_prices(prices(spark, sf_dir, "type_day")), 5)  # prices have five digits before the point
 
 
 @_query("log_returns", _sql(f"select dt, asset, {_r('r', 'r')} from ret"))
