@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LAMBDA = 0.94
+_SERIES = Window.partitionBy("rb_seq", "asset_idx")
 
 
 def calendar(days: DataFrame, lookback: int, every: int) -> DataFrame:
@@ -57,25 +59,21 @@ def cov_ewma(window: DataFrame, lam: float = LAMBDA) -> DataFrame:
     if not 0 < lam < 1:
         raise ValueError(f"lam must be in (0, 1), got {lam}")
     weighted = window.withColumn("w", F.pow(F.lit(lam), F.col("age")))
-    mean = weighted.groupBy("rb_seq", "asset_idx").agg((F.sum(F.col("w") * F.col("r")) / F.sum("w")).alias("m"))
-    centred = weighted.join(mean, ["rb_seq", "asset_idx"]).withColumn("c", F.col("r") - F.col("m"))
+    centred = weighted.withColumn("c", F.col("r") - F.sum(F.col("w") * F.col("r")).over(_SERIES) / F.sum("w").over(_SERIES))
     return _pairs(centred, "c", "w").groupBy("rb_seq", "i", "j").agg((F.sum(F.expr("w * x * y")) / F.sum("w")).alias("cov"))
 
 
 def ledoit_wolf(window: DataFrame) -> DataFrame:
     """rb_seq, i, j, cov, alpha for i <= j: the population covariance shrunk towards a scaled identity."""
-    mean = means(window)
-    centred = window.join(mean, ["rb_seq", "asset_idx"]).withColumn("c", F.col("r") - F.col("mu"))
+    centred = window.withColumn("c", F.col("r") - F.avg("r").over(_SERIES))
     base = _pairs(centred, "c").groupBy("rb_seq", "i", "j").agg(F.avg(F.expr("x * y")).alias("s"), F.avg(F.expr("x * x * y * y")).alias("q"), F.count(F.lit(1)).alias("n"))
+    matrix = Window.partitionBy("rb_seq")
     twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
-    level = base.where("i = j").groupBy("rb_seq").agg(F.avg("s").alias("m"))
-    joined = base.join(level, "rb_seq").withColumn("target", F.when(F.col("i") == F.col("j"), F.col("m")).otherwise(0.0))
-    sums = joined.groupBy("rb_seq").agg(
-        F.sum(twice * (F.col("q") - F.col("s") * F.col("s"))).alias("pi"), F.sum(twice * F.pow(F.col("s") - F.col("target"), 2)).alias("gamma"), F.max("n").alias("n_obs")
-    )
-    alpha = F.when(F.col("gamma") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr("pi / if(gamma < 1e-12, 1d, gamma) / n_obs"))))
-    both = joined.join(sums.select("rb_seq", alpha.alias("alpha")), "rb_seq")
-    return both.select("rb_seq", "i", "j", F.expr("(1 - alpha) * s + alpha * target").alias("cov"), "alpha")
+    level = F.avg(F.when(F.col("i") == F.col("j"), F.col("s"))).over(matrix)
+    aimed = base.withColumn("target", F.when(F.col("i") == F.col("j"), level).otherwise(0.0))
+    summed = aimed.withColumn("pi", F.sum(twice * (F.col("q") - F.col("s") * F.col("s"))).over(matrix)).withColumn("gamma", F.sum(twice * F.pow(F.col("s") - F.col("target"), 2)).over(matrix))
+    alpha = F.when(F.col("gamma") < 1e-12, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.expr("pi / if(gamma < 1e-12, 1d, gamma) / n"))))
+    return summed.withColumn("alpha", alpha).select("rb_seq", "i", "j", F.expr("(1 - alpha) * s + alpha * target").alias("cov"), "alpha")
 
 
 ESTIMATORS = {"sample": cov_sample, "ledoit_wolf": lambda w: ledoit_wolf(w).drop("alpha"), "ewma": cov_ewma}
