@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LAMBDA = 0.94
-_SERIES = Window.partitionBy("rb_seq", "asset_idx")
 
 
 def calendar(days: DataFrame, lookback: int, every: int) -> DataFrame:
@@ -59,13 +58,15 @@ def cov_ewma(window: DataFrame, lam: float = LAMBDA) -> DataFrame:
     if not 0 < lam < 1:
         raise ValueError(f"lam must be in (0, 1), got {lam}")
     weighted = window.withColumn("w", F.pow(F.lit(lam), F.col("age")))
-    centred = weighted.withColumn("c", F.col("r") - F.sum(F.col("w") * F.col("r")).over(_SERIES) / F.sum("w").over(_SERIES))
+    series = Window.partitionBy("rb_seq", "asset_idx")
+    centred = weighted.withColumn("c", F.col("r") - F.sum(F.col("w") * F.col("r")).over(series) / F.sum("w").over(series))
     return _pairs(centred, "c", "w").groupBy("rb_seq", "i", "j").agg((F.sum(F.expr("w * x * y")) / F.sum("w")).alias("cov"))
 
 
 def ledoit_wolf(window: DataFrame) -> DataFrame:
     """rb_seq, i, j, cov, alpha for i <= j: the population covariance shrunk towards a scaled identity."""
-    centred = window.withColumn("c", F.col("r") - F.avg("r").over(_SERIES))
+    series = Window.partitionBy("rb_seq", "asset_idx")
+    centred = window.withColumn("c", F.col("r") - F.avg("r").over(series))
     base = _pairs(centred, "c").groupBy("rb_seq", "i", "j").agg(F.avg(F.expr("x * y")).alias("s"), F.avg(F.expr("x * x * y * y")).alias("q"), F.count(F.lit(1)).alias("n"))
     matrix = Window.partitionBy("rb_seq")
     twice = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -21,6 +22,8 @@ from stridelake.plans import backtest as bt
 from stridelake.plans import catalogue
 from stridelake.sources import panels
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def toy_prices(spark, days=40, assets=4, seed=0):
     rng = np.random.default_rng(seed)
@@ -175,3 +178,20 @@ def test_online_backtest_equals_batch(spark, tmp_path):
     got = spark.read.parquet(out).orderBy("t").toPandas()
     w, _ = kernels.weights_for(r, "sample", "min_variance", 12, 5)
     assert np.allclose(got.port_ret, kernels.held_returns(r, w, 12, 5))
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.returncode == 0 and int(said.stdout.split()[-1]) >= 55, said.stderr
+
+
+def test_flagship(spark):
+    import __spark_entry__
+
+    if DATA.exists():
+        assert __spark_entry__.entry(spark).count() == 10
