@@ -18,24 +18,25 @@ def _stars(pairs: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _unsettled(pairs: DataFrame) -> DataFrame:
+    """Nodes that point to two others, or to one that points on itself; without any, the pairs are stars."""
+    onward = pairs.select("u").join(pairs.select(F.col("v").alias("u")), "u", "left_semi")
+    return onward.unionByName(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u"))
+
+
 def components(work: Workspace, edges: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
     """node, root of every node that has an edge (columns ``u`` and ``v``): root is the least node of its component.
 
-    Every round writes its pairs to the shared folder, so lineage stays short. Ends when a round changes nothing.
+    Every round writes its pairs to the shared folder, so lineage stays short. Ends when the
+    pairs are stars: then a round would change nothing.
     """
     pairs = work.put(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    seen = None
     for k in range(1, most_rounds + 1):
-        if pairs.isEmpty():
+        if _unsettled(pairs).isEmpty():
             break
-        after = work.put(_stars(_stars(pairs, large=True), large=False), f"{name}-{k}")
+        pairs = work.put(_stars(_stars(pairs, large=True), large=False), f"{name}-{k}")
         if k > 1:
             work.drop(f"{name}-{k - 2}")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        pairs = after
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     # Stars now: every node but the roots points to its root.
