@@ -25,7 +25,7 @@ LOWER[65:91] += 32
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below n; kept for later batches."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]))
+        size = max(n, min(2 * len(_powers[0]), 1 << 21))
         for k, base in enumerate((_BASE, _UNBASE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -55,7 +55,7 @@ class SpanHash:
         return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
 
 
-def batches(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together; a longer text stands alone."""
     begin = total = 0
     for i, text in enumerate(texts):

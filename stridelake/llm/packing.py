@@ -25,7 +25,7 @@ from .shared import Workspace, ranked
 
 END = 0
 #: Distinct words that a worker keeps the ids of, at about 60 bytes each.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 400_000
 
 # Splits that the tokenizer makes wherever they occur: around white space, and between ASCII letters, digits
 # and other signs. Apostrophes (contractions) and all other bytes are never split from their neighbours.
