@@ -140,9 +140,10 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     key = F.concat_ws(":", F.col("_id").cast("string"), F.hex("_digest")).alias("_key")
     gone = entries(index, df, id_col, text_col).where("not _stays").select(key, F.col("_id").eqNullSafe(F.col("_keep")).alias("_twin"))
     gone = index.work.put(gone.distinct(), "gone")
+    index.work.keep("gone")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id"), digest_of(normalised(text_col)).alias("_digest"))
     split = flagged(rows.select("_row", key), F.col("_key"), key_filter(gone, F.col("_key")))
     clear = split.where("not _maybe").select("_row")
     held = split.where("_maybe").drop("_maybe").join(gone, "_key", "left")
     one = held.where("_twin").dropDuplicates(["_key"]).select("_row")
-    return index.work.finish(clear.unionByName(held.where("_twin is null").select("_row")).unionByName(one).select("_row.*"))
+    return clear.unionByName(held.where("_twin is null").select("_row")).unionByName(one).select("_row.*")

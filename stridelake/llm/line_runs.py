@@ -110,4 +110,5 @@ def delete_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     runs = copied_runs(work, df, id_col, text_col, min_lines)
     out = _cleaned(df, runs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     text = F.when(F.col("_whole").isNull(), None).otherwise(F.concat_ws("\n", "_kept"))
-    return work.finish(out.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns]))
+    work.keep("runs")
+    return out.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns])

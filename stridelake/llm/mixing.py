@@ -147,4 +147,5 @@ def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id0"), size.alias("_size0"))
     out = rows.join(count, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size"))).where("_times > 0")
-    return mix.work.finish(out.withColumn("_nth", F.explode(F.expr("sequence(1, _times)"))).select("_row.*"))
+    mix.work.keep("times")
+    return out.withColumn("_nth", F.explode(F.expr("sequence(1, _times)"))).select("_row.*")

@@ -226,4 +226,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     split = flagged(rows, F.col("doc_id"), key_filter(gone, F.col("doc_id")))
     held = split.where("_maybe").join(gone, "doc_id", "left_anti")
     kept = split.where("not _maybe").select("_row").unionByName(held.select("_row"))
-    return work.finish(kept.select("_row.*"))
+    return kept.select("_row.*")

@@ -72,7 +72,12 @@ class Workspace:
             if name in self.held:
                 self.held.remove(name)
 
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these: a lazy result with whole texts reads them when it is written, and is never stored twice."""
+        self.drop(*[x for x in self.held if x not in names])
+
     def finish(self, df: DataFrame) -> DataFrame:
+        """Store a narrow result."""
         out = self.put(df, "result")
         self.drop(*[x for x in self.held if x != "result"])
         return out
