@@ -7,8 +7,9 @@ rank are a longest-common-prefix interval of at least that many lines. In each i
 in order of identifier and line, is the original; every other is the start of a later copy, which is deleted
 as far as its deepest interval reaches. Overlapping copies join to maximal runs.
 
-Copies shorter than ``min_lines`` lines (a power of two) stay. Lines without a word match nothing: they end
-a run and stay. DataFrame operations only; ranks come from a range-partitioned sort, so no task sees all rows.
+Copies shorter than ``min_lines`` lines (a power of two) stay; with 1, none is too short. Lines without a word match
+nothing: they end a run and stay, or with ``skip_blank`` are no part of the sequences, so a run goes on across them;
+those between two deleted lines of a run are then deleted with it. DataFrame operations only; ranks come from a range-partitioned sort, so no task sees all rows.
 
 Defined results: a null text is empty, and has one empty line; a line ends at a line feed; rows that repeat
 both identifier and text are one document and share its result; an empty table gives no rows; a null identifier
@@ -30,6 +31,10 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def _has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_text"), F.col(id_col).alias("_order"), *more)
@@ -45,12 +50,13 @@ def _named(work: Workspace, rows: DataFrame, pair: list[str], name: str) -> Data
     return work.put(out, name)
 
 
-def copied_runs(work: Workspace, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
-    """_id, _text, runs (array of start, end): the lines to delete of each document that has any."""
+def copied_runs(work: Workspace, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, skip_blank: bool = False) -> DataFrame:
+    """_id, _text, runs (array of start, end): the lines to delete of each document that has any. With ``skip_blank`` only lines with a word are counted."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError(f"min_lines must be a power of two, not {min_lines}")
-    lines = _rows(df, id_col, text_col, F.posexplode(_lines(F.col(text_col))).alias("line", "_line"))
-    lines = lines.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]")).select("_order", *KEY, "line", F.unhex(F.sha2("_line", 256)).alias("_digest"))
+    split = _lines(F.col(text_col))
+    lines = _rows(df, id_col, text_col, F.posexplode(F.filter(split, _has_word) if skip_blank else split).alias("line", "_line"))
+    lines = lines.where(_has_word(F.col("_line"))).select("_order", *KEY, "line", F.unhex(F.sha2("_line", 256)).alias("_digest"))
     suffixes = _named(work, work.put(lines, "lines"), ["_digest"], "level-1")
     length, later = 1, []
     while not suffixes.isEmpty():
@@ -74,8 +80,8 @@ def copied_runs(work: Workspace, df: DataFrame, id_col: str = "doc_id", text_col
     return work.put(runs.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
 
 
-def _cleaned(df: DataFrame, runs: DataFrame, id_col: str, text_col: str, carried: Column) -> DataFrame:
-    """_row, _lines, _kept, runs of every row; only documents that lose a line are joined."""
+def _cleaned(df: DataFrame, runs: DataFrame, id_col: str, text_col: str, carried: Column, skip_blank: bool) -> DataFrame:
+    """_row, _lines, _kept, runs (in lines of the text) of every row; only documents that lose a line are joined."""
     key = F.concat_ws(":", F.col("_text").cast("string"), "_id").alias("_key")
     lost = runs.select(key, "runs")
     rows = _rows(df, id_col, text_col, carried.alias("_row"), F.col(text_col).alias("_whole")).select("_row", "_whole", key)
@@ -83,15 +89,18 @@ def _cleaned(df: DataFrame, runs: DataFrame, id_col: str, text_col: str, carried
     held = split.where("_maybe").drop("_maybe").join(lost, "_key", "left")
     clear = split.where("not _maybe").drop("_maybe").withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType))
     both = clear.unionByName(held.select(*clear.columns)).withColumn("_lines", _lines(F.col("_whole")))
+    if skip_blank:
+        filled = both.withColumn("_at", F.when(F.col("runs").isNotNull(), F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _has_word(F.col("_lines")[i]))))
+        both = filled.withColumn("runs", F.expr("transform(runs, r -> struct(_at[r.start] as start, _at[r.end - 1] + 1 as end))")).drop("_at")
     kept = F.when(F.col("runs").isNull(), F.col("_lines")).otherwise(F.expr("filter(_lines, (x, i) -> not exists(runs, r -> r.start <= i and i < r.end))"))
     return both.withColumn("_kept", kept)
 
 
-def run_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def run_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, skip_blank: bool = False) -> DataFrame:
     """Per row: id, n_lines, n_deleted, n_runs, longest_run, kept_sha256 (of the text that stays)."""
     work = Workspace(df.sparkSession, "line-runs")
-    runs = copied_runs(work, df, id_col, text_col, min_lines)
-    out = _cleaned(df, runs, id_col, text_col, F.struct(F.col(id_col).alias("id")))
+    runs = copied_runs(work, df, id_col, text_col, min_lines, skip_blank)
+    out = _cleaned(df, runs, id_col, text_col, F.struct(F.col(id_col).alias("id")), skip_blank)
     return work.finish(
         out.select(
             F.col("_row.id").alias(id_col),
@@ -104,11 +113,11 @@ def run_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     )
 
 
-def delete_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def delete_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, skip_blank: bool = False) -> DataFrame:
     """``df`` with the later copies deleted from its texts; a null text stays null."""
     work = Workspace(df.sparkSession, "line-runs")
-    runs = copied_runs(work, df, id_col, text_col, min_lines)
-    out = _cleaned(df, runs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    runs = copied_runs(work, df, id_col, text_col, min_lines, skip_blank)
+    out = _cleaned(df, runs, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in df.columns]), skip_blank)
     text = F.when(F.col("_whole").isNull(), None).otherwise(F.concat_ws("\n", "_kept"))
     work.keep("runs")
     return out.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns])

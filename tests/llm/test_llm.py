@@ -392,3 +392,13 @@ def test_line_runs(spark, empty, length):
         assert line_runs.run_report(empty).count() == 0
         with pytest.raises(ValueError):
             line_runs.copied_runs(Workspace(spark, "t"), df, min_lines=3)
+
+
+PARAGRAPHS = [(1, "p one\n\np two\n \np three\n\nend"), (2, "start\n\np one\n\n\np two\n\np three\n\nlast"), (3, "p two\n\nelse")]
+
+
+def test_line_runs_across_blank_lines(spark):
+    df = spark.createDataFrame(PARAGRAPHS, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_runs.delete_runs(df, skip_blank=True).collect()} == {1: PARAGRAPHS[0][1], 2: "start\n\n\nlast", 3: PARAGRAPHS[2][1]}
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.n_runs, r.longest_run) for r in line_runs.run_report(df, skip_blank=True).collect()}
+    assert got == {1: (7, 0, 0, 0), 2: (10, 6, 1, 6), 3: (3, 0, 0, 0)}
