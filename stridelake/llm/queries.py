@@ -109,6 +109,31 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.run_report(table(spark, sf_dir, "documents"))
 
 
+@_query(
+    "op7_all_runs",
+    r"""
+    with lines as (
+        select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
+        from documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) as g(i)
+    ),
+    filled as (select *, row_number() over (partition by doc_id order by i) as k from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+    later as (select doc_id, i, k from (select *, row_number() over (partition by line order by doc_id, i) as nth from filled) where nth > 1),
+    numbered as (select doc_id, i, k - row_number() over (partition by doc_id order by k) as run from later),
+    runs as (select doc_id, run, min(i) as a, max(i) as b from numbered group by doc_id, run),
+    totals as (select doc_id, count(*) as n_runs, max(b - a + 1) as longest_run from runs group by doc_id),
+    gone as (select distinct doc_id, unnest(generate_series(a, b)) as i from runs),
+    marked as (select l.*, g.i is not null as deleted from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i)
+    select m.doc_id, count(*) as n_lines, count(*) filter (where deleted) as n_deleted,
+        coalesce(max(t.n_runs), 0) as n_runs, coalesce(max(t.longest_run), 0) as longest_run,
+        sha256(coalesce(string_agg(line, chr(10) order by m.i) filter (where not deleted), '')) as kept_sha256
+    from marked m left join totals t on t.doc_id = m.doc_id group by m.doc_id
+    """,
+)
+def op7_all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of one line too, and across blank lines, which op7_line_runs with its SQL leaves."""
+    return line_runs.run_report(table(spark, sf_dir, "documents"), min_lines=1, skip_blank=True)
+
+
 @_query("op5_contextual_pii")
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))

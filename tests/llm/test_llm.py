@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridelake.llm import exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, pii, transport_stream, warc_bundle
+from stridelake.llm.queries import ORACLES, QUERIES
 from stridelake.llm.shared import Workspace
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -394,11 +395,29 @@ def test_line_runs(spark, empty, length):
             line_runs.copied_runs(Workspace(spark, "t"), df, min_lines=3)
 
 
+ONE_LINE = [(1, "a b\nonly here\nc"), (2, "x\na b\ny"), (3, "c\na b")]
 PARAGRAPHS = [(1, "p one\n\np two\n \np three\n\nend"), (2, "start\n\np one\n\n\np two\n\np three\n\nlast"), (3, "p two\n\nelse")]
 
 
+def test_line_runs_of_one_line(spark, tmp_path):
+    spark.createDataFrame(ONE_LINE, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_deleted, r.n_runs, r.longest_run, r.kept_sha256) for r in QUERIES["op7_all_runs"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (0, 0, 0, sha(ONE_LINE[0][1])), 2: (1, 1, 1, sha("x\ny")), 3: (2, 1, 2, sha(""))}
+
+
 def test_line_runs_across_blank_lines(spark):
     df = spark.createDataFrame(PARAGRAPHS, "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_runs.delete_runs(df, skip_blank=True).collect()} == {1: PARAGRAPHS[0][1], 2: "start\n\n\nlast", 3: PARAGRAPHS[2][1]}
     got = {r.doc_id: (r.n_lines, r.n_deleted, r.n_runs, r.longest_run) for r in line_runs.run_report(df, skip_blank=True).collect()}
     assert got == {1: (7, 0, 0, 0), 2: (10, 6, 1, 6), 3: (3, 0, 0, 0)}
+
+
+@pytest.mark.parametrize("rows", [ONE_LINE, PARAGRAPHS, [(k, f"{k % 3}\n\n\t\n{k % 2}\n{k}\n{k % 5}") for k in range(12)]])
+def test_all_runs_equal_their_sql(spark, tmp_path, rows):
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    columns = ["doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "kept_sha256"]
+    got = QUERIES["op7_all_runs"](spark, str(tmp_path)).select(*columns).collect()
+    sql = ORACLES["op7_all_runs"].replace("from documents,", f"from read_parquet('{tmp_path}/documents.parquet/*.parquet') as documents,")
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
