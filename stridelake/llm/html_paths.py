@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -125,14 +126,46 @@ class Page:
             path = tuple(stack)
 
 
-def _closeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """The share of the longer path that both have from the root on."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return same / max(len(a), len(b), 1)
+def _smoothed(ratios: dict[tuple[str, ...], tuple[float, float]], weights: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Weighted means of both ratios over all paths, a path's weight times the fourth power of its closeness: the share
+    of the longer path that both have from the root on. Sums are kept per prefix and length, so no pair of paths is
+    formed: a path that shares k steps is met at k prefixes, whose factors add up to k**4.
+    """
+    ids: dict[tuple[int, str], int] = {}
+    ways: dict[tuple[str, ...], list[int]] = {}
+    sums: dict[int, dict[int, list[float]]] = {}
+    for p, (text, marks) in ratios.items():
+        way = ways[p] = []
+        w = weights[p]
+        for step in p:
+            way.append(ids.setdefault((way[-1] if way else 0, step), len(ids) + 1))
+            entry = sums.setdefault(way[-1], {}).setdefault(len(p), [0.0, 0.0, 0.0])
+            entry[0] += w
+            entry[1] += w * text
+            entry[2] += w * marks
+    # Per prefix: lengths, sums up to each length, and sums over length**4 from each length on.
+    tables = {}
+    for node, by_length in sums.items():
+        lengths = sorted(by_length)
+        upto, beyond = [(0.0, 0.0, 0.0)], [(0.0, 0.0, 0.0)]
+        for n in lengths:
+            upto.append(tuple(x + y for x, y in zip(upto[-1], by_length[n])))
+        for n in reversed(lengths):
+            beyond.append(tuple(x + y / n**4 for x, y in zip(beyond[-1], by_length[n])))
+        tables[node] = lengths, upto, beyond[::-1]
+    out = {}
+    for p, way in ways.items():
+        total = text = marks = 0.0
+        power = len(p) ** 4
+        for k, node in enumerate(way, 1):
+            lengths, upto, beyond = tables[node]
+            at = bisect_right(lengths, len(p))
+            factor = k**4 - (k - 1) ** 4
+            total += factor * (upto[at][0] / power + beyond[at][0])
+            text += factor * (upto[at][1] / power + beyond[at][1])
+            marks += factor * (upto[at][2] / power + beyond[at][2])
+        out[p] = (text / total, marks / total) if way else ratios[p]
+    return out
 
 
 def path_scores(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...], tuple[float, int, int]]:
@@ -147,14 +180,8 @@ def path_scores(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str
             entry[2] += 1
     ratios = {p: (n / k, q / k) for p, (n, q, k) in sums.items()}
     weights = {p: math.sqrt(k) for p, (_, _, k) in sums.items()}
-    out = {}
-    for p in sums:
-        near = [(_closeness(p, o) ** 4 * weights[o] if o != p else weights[o], ratios[o]) for o in sums] if len(sums) <= 200 else [(1.0, ratios[p])]
-        total = sum(w for w, _ in near)
-        text = sum(w * r[0] for w, r in near) / total
-        marks = sum(w * r[1] for w, r in near) / total
-        out[p] = (text * math.log1p(marks) + math.log1p(text), sums[p][0], sums[p][2])
-    return out
+    smooth = _smoothed(ratios, weights)
+    return {p: (text * math.log1p(marks) + math.log1p(text), sums[p][0], sums[p][2]) for p, (text, marks) in smooth.items()}
 
 
 def content_root(nodes: list[tuple[tuple[str, ...], int, str]], spread: float = 0.5, cover: float = 0.9) -> tuple[str, ...] | None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -287,6 +289,24 @@ def test_html(spark):
     assert got == {i: (t, len(t)) for i, t in enumerate(cases.values())} and html_paths.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 1000])
+def test_html_paths_are_smoothed_on_pages_of_any_size(n):
+    rng = random.Random(n)
+    nodes = [(("html", *(f"div#{rng.choice('abcd')}" for _ in range(rng.randrange(12)))), k, "Some text, and more. " * rng.randrange(1, 9)) for k in range(n)] + [((), n, "bare, text")]
+    rows = defaultdict(list)
+    for path, _, text in nodes:
+        rows[path].append((len(text), len(html_paths.PUNCTUATION.findall(text))))
+    assert (len(rows) > 200) == (n > 200)
+    weight = {p: math.sqrt(len(x)) for p, x in rows.items()}
+    mean = {p: [sum(y) / len(x) for y in zip(*x)] for p, x in rows.items()}
+    near = lambda a, b: 1.0 if a == b else (len(os.path.commonprefix([a, b])) / max(len(a), len(b))) ** 4
+    got = html_paths.path_scores(nodes)
+    for p in rows:
+        w = {o: near(p, o) * weight[o] for o in rows}
+        text, marks = (sum(w[o] * mean[o][k] for o in rows) / sum(w.values()) for k in (0, 1))
+        assert got[p][0] == pytest.approx(text * math.log1p(marks) + math.log1p(text), rel=1e-9)
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(5)
     good = [(i, words(rng, 80).capitalize() + ".") for i in range(300)]
