@@ -3,8 +3,8 @@
 Every text node has a root-to-leaf tag path. Per path, text length and punctuation are summed over its
 nodes and divided by their number; the ratios are smoothed over paths that share much of their way
 from the root, fused to one score, and thresholded by the scores' spread over the page. The content
-node is the deepest container that holds nearly all text of the paths above the threshold; all its
-text is content, but for elements that are never main text: menus, headers, footers, sidebars, notices,
+node is the deepest container that holds all paths above the threshold, or the article around it; all its
+text is content, and so are headings that stand before it in the containers around it, but for elements that are never main text: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments, known by element or by class and id.
 
 Defined results: a null page is empty; a page without any main text gives an empty string; tag soup is
@@ -40,6 +40,7 @@ BLOCKS = CONTAINERS | frozenset(
     """p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr th caption figure figcaption address hr details summary
     header footer nav aside form fieldset hgroup dir menu""".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_PARAGRAPH = BLOCKS - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: Start tags that end an open element of these names, up to the named ancestors.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -184,8 +185,8 @@ def path_scores(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str
     return {p: (text * math.log1p(marks) + math.log1p(text), sums[p][0], sums[p][2]) for p, (text, marks) in smooth.items()}
 
 
-def content_root(nodes: list[tuple[tuple[str, ...], int, str]], spread: float = 0.5, cover: float = 0.9) -> tuple[str, ...] | None:
-    """The path of the container of nearly all text of the paths whose score passes the threshold."""
+def content_root(nodes: list[tuple[tuple[str, ...], int, str]], spread: float = 0.5) -> tuple[str, ...] | None:
+    """The path of the deepest container of all paths whose score passes the threshold, or of the article that it is in."""
     scores = path_scores(nodes)
     if not scores:
         return None
@@ -194,31 +195,34 @@ def content_root(nodes: list[tuple[tuple[str, ...], int, str]], spread: float =
     deviation = math.sqrt(sum(k * (s - mean) ** 2 for s, _, k in scores.values()) / n)
     best = max(s for s, _, _ in scores.values())
     least = min(best, spread * (deviation or best))
-    chosen = {p: length for p, (s, length, _) in scores.items() if s >= least}
-    wanted = cover * sum(chosen.values())
-    root: tuple[str, ...] = ()
-    while True:
-        below: dict[str, int] = {}
-        for p, length in chosen.items():
-            if len(p) > len(root) and p[: len(root)] == root:
-                below[p[len(root)]] = below.get(p[len(root)], 0) + length
-        step = max(below, key=below.get, default=None)
-        if step is None or below[step] < wanted:
-            break
-        root += (step,)
+    chosen = [p for p, (s, _, _) in scores.items() if s >= least]
+    first, last = min(chosen), max(chosen)
+    root = first[: next((k for k, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))]
+    names = [x.partition("#")[0] for x in root]
+    if "article" in names:  # all of an article is its text, short parts too
+        return root[: len(names) - names[::-1].index("article")]
     while root and root[-1].partition("#")[0] not in CONTAINERS:
         root = root[:-1]
     return root
 
 
+def _heads(path: tuple[str, ...], root: tuple[str, ...]) -> bool:
+    """Whether a path is in a heading that is a child of a container around the root."""
+    at = next((k for k, x in enumerate(path) if x in HEADINGS), None)
+    return at is not None and at < len(root) and path[:at] == root[:at]
+
+
 def main_text(source: str) -> str:
     nodes = Page(source).nodes
     root = content_root(nodes)
     if root is None:
         return ""
     blocks: dict[int, list[str]] = {}
+    begun = False
     for path, block, text in nodes:
-        if path[: len(root)] == root:
+        inside = path[: len(root)] == root
+        begun |= inside and bool(text.strip())
+        if inside or not begun and _heads(path, root):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

@@ -289,6 +289,13 @@ def test_html(spark):
     assert got == {i: (t, len(t)) for i, t in enumerate(cases.values())} and html_paths.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 10, 100])
+@pytest.mark.parametrize("page", ["<article><h1>Head</h1><div class=body>{}</div><section>Short end.</section></article>", "<h1>Head</h1><div class=body>{}</div><div class=end><p>Another one ends it, as well it may.</div>"])
+def test_html_keeps_the_parts_beside_a_long_one(page, n):
+    lines = html_paths.main_text("<html><body>" + page.format("<p>A long sentence, that goes on." * n)).split("\n")
+    assert lines[0] == "Head" and lines[1 : n + 1] == ["A long sentence, that goes on."] * n and lines[n + 1 :] in (["Short end."], ["Another one ends it, as well it may."])
+
+
 @pytest.mark.parametrize("n", [40, 1000])
 def test_html_paths_are_smoothed_on_pages_of_any_size(n):
     rng = random.Random(n)
