@@ -14,7 +14,8 @@ Two documents link when the Jaccard similarity of their sets of distinct shingle
     matches that aren't in one component yet are counted and verified, with the exact similarity.
 
 The result is one row a document with its component, so a group of copies of any size costs its size: no
-step lists all pairs of a group, and no candidate is dropped but by a bound.
+step lists all pairs of a group, and no candidate is dropped but by a bound. Numbers of links are counted on
+request (``link_counts``); that lists the pairs that no bound decides, which may be quadratic in a family.
 
 Defined results: words are runs without ASCII white space, A-Z lower-cased; with fewer than five words the
 whole sequence is the one shingle; a null text or one without words has an empty set, and is linked with nothing;
@@ -163,6 +164,26 @@ def _cross(rows: DataFrame, key: str, condition: str) -> DataFrame:
     return lists.where("root != top").alias("a").join(lists.alias("b"), F.expr(f"a.{key} = b.{key} and a.root != b.root and (b.root = b.top or a.s < b.s) and {condition}"))
 
 
+#: SQL: the most shingles that two sets of one family share.
+WITHIN = "least(a.i, b.i) + least(greatest(a.shared - a.i, 0L), greatest(b.shared - b.i, 0L))"
+
+
+def families(posted: DataFrame, met: DataFrame) -> DataFrame:
+    """``posted`` with h, the centre of a set's family (null without one), and i, the shingles that it shares with the centre."""
+    fans = met.groupBy("v").agg(F.count(F.lit(1)).alias("fans"))
+    compared = join_groups(met.select("u", "v", "both"), fans, ["v"], "fans").select(F.col("u").alias("s"), F.struct("fans", F.col("v").alias("h"), F.col("both").alias("i")).alias("c"))
+    centres = fans.select(F.col("v").alias("s"), F.struct("fans", F.col("v").alias("h"), F.lit(None).cast("long").alias("i")).alias("c"))
+    family = compared.unionByName(centres).groupBy("s").agg(F.max("c").alias("c")).select("s", "c.h", "c.i")
+    return posted.join(family, "s", "left").withColumn("i", F.when(F.col("h") == F.col("s"), F.col("n")).otherwise(F.col("i"))).withColumn("h", F.when(F.expr("i * 2 >= n"), F.col("h")))
+
+
+def _matching() -> str:
+    """SQL: whether two rows of one shingle are in both prefixes, for sets that may be similar enough."""
+    base = lambda x: f"({x}n - {_least_overlap(x + 'n')})"
+    l = "least(a.l, b.l)"  # noqa: E741
+    return f"a.pos < {base('a.')} + {l} and b.pos < {base('b.')} + {l} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}"
+
+
 def open_pairs(posted: DataFrame, rooted: DataFrame, met: DataFrame) -> DataFrame:
     """All pairs with enough matches in their prefixes that aren't in one component and that no bound rules out.
 
@@ -170,30 +191,56 @@ def open_pairs(posted: DataFrame, rooted: DataFrame, met: DataFrame) -> DataFram
     family share at most as many shingles as the lesser has with the centre, and as many besides as the lesser has
     outside of it in common with anyone: pairs that this leaves are listed once a family, others by their matches.
     """
-    fans = met.groupBy("v").agg(F.count(F.lit(1)).alias("fans"))
-    compared = join_groups(met.select("u", "v", "both"), fans, ["v"], "fans").select(F.col("u").alias("s"), F.struct("fans", F.col("v").alias("h"), F.col("both").alias("i")).alias("c"))
-    centres = fans.select(F.col("v").alias("s"), F.struct("fans", F.col("v").alias("h"), F.lit(None).cast("long").alias("i")).alias("c"))
-    family = compared.unionByName(centres).groupBy("s").agg(F.max("c").alias("c")).select("s", "c.h", "c.i")
-    sized = posted.join(family, "s", "left").withColumn("i", F.when(F.col("h") == F.col("s"), F.col("n")).otherwise(F.col("i"))).withColumn("h", F.when(F.expr("i * 2 >= n"), F.col("h")))
+    sized = families(posted, met)
     rows = sized.join(rooted, sized["s"] == rooted["node"], "left").select(*sized.columns, F.coalesce("root", "s").alias("root"))
-    within = "least(a.i, b.i) + least(greatest(a.shared - a.i, 0L), greatest(b.shared - b.i, 0L))"
     members = rows.where("h is not null").select("s", "n", "shared", "h", "i", "root").distinct()
-    inside = _cross(members, "h", f"{_enough(within, 'a.n', 'b.n')} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}")
-    base = lambda x: f"({x}n - {_least_overlap(x + 'n')})"
-    l = "least(a.l, b.l)"  # noqa: E741
-    across = _cross(
-        rows,
-        "t",
-        f"""not coalesce(a.h = b.h, false) and a.pos < {base('a.')} + {l} and b.pos < {base('b.')} + {l}
-        and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}""",
-    )
+    inside = _cross(members, "h", f"{_enough(WITHIN, 'a.n', 'b.n')} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}")
+    across = _cross(rows, "t", f"not coalesce(a.h = b.h, false) and {_matching()}")
     pair = [F.expr("least(a.s, b.s)").alias("u"), F.expr("greatest(a.s, b.s)").alias("v")]
-    matched = across.select(*pair, F.expr(l).alias("l")).groupBy("u", "v", "l").agg(F.count(F.lit(1)).alias("k")).where("k >= l")
+    matched = across.select(*pair, F.expr("least(a.l, b.l)").alias("l")).groupBy("u", "v", "l").agg(F.count(F.lit(1)).alias("k")).where("k >= l")
     return matched.select("u", "v").unionByName(inside.select(*pair))
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least identifier that links lead to), class_id (the least with the same set)."""
+def link_counts(work: Workspace, sets: DataFrame, posted: DataFrame, met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """s, others: the rows of all other sets that a set links to. Sets without a link may be missing.
+
+    A family's sets are counted by (n, i, shared). Two sets a and b share at least ``a.i + b.i`` less the centre's
+    size, and at most what ``open_pairs`` says: where the first is enough all pairs of two such groups link and are
+    counted without a list, where the second isn't none does, and all pairs of other groups are listed and verified.
+    """
+    weight = nodes.select("s", "rows")
+    sized = work.put(families(posted, met), "families")
+    kind = ["h", "n", "i", "shared"]
+    members = work.put(sized.where("h is not null").select("s", *kind).distinct().join(weight, "s"), "members")
+    kinds = members.groupBy(*kind).agg(F.sum("rows").alias("w"), F.count(F.lit(1)).alias("m"))
+    kinds = work.put(kinds.join(nodes.select(F.col("s").alias("h"), F.col("n").alias("nh")), "h"), "kinds")
+    sure = _enough("a.i + b.i - a.nh", "a.n", "b.n")
+    possible = f"{_enough(WITHIN, 'a.n', 'b.n')} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}"
+    both = kinds.alias("a").join(kinds.alias("b"), F.expr("a.h = b.h")).withColumn("sure", F.expr(sure)).where(f"sure or {possible}")
+    same = "a.n = b.n and a.i = b.i and a.shared = b.shared"
+    counted = both.where("sure").groupBy(*[F.col(f"a.{c}").alias(c) for c in kind]).agg(F.sum("b.w").alias("w"), F.max(F.expr(same)).alias("self"), F.max("a.m").alias("m"))
+    counted = work.put(counted, "counted")
+    certain = join_groups(members, counted, kind, "m").select("s", F.expr("w - if(self, rows, 0L)").alias("others"))
+    unsure = both.where("not sure").where("struct(a.n, a.i, a.shared) <= struct(b.n, b.i, b.shared)")
+    listed = unsure.select(*[F.col(f"a.{c}").alias(c) for c in kind], F.expr("struct(b.n as n, b.i as i, b.shared as shared)").alias("o"))
+    first = listed.join(members.select("s", *kind), kind).select("h", F.col("s").alias("u"), F.col("o.n").alias("n"), F.col("o.i").alias("i"), F.col("o.shared").alias("shared"), F.expr("n = o.n and i = o.i and shared = o.shared").alias("self"))
+    inside = first.join(members.select(F.col("s").alias("v"), *kind), kind).where("u != v and (not self or u < v)")
+    rows = sized.withColumn("root", F.coalesce(F.concat(F.lit("h"), F.col("h")), F.concat(F.lit("s"), F.col("s"))))
+    across = _cross(rows, "t", _matching())
+    pair = [F.expr("least(a.s, b.s)").alias("u"), F.expr("greatest(a.s, b.s)").alias("v")]
+    matched = across.select(*pair, F.expr("least(a.l, b.l)").alias("l")).groupBy("u", "v", "l").agg(F.count(F.lit(1)).alias("k")).where("k >= l")
+    open_ = work.put(inside.select("u", "v").unionByName(matched.select("u", "v")), "link-candidates")
+    found = work.put(overlaps(sets, open_).where("similar").select("u", "v"), "links")
+    ways = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = ways.groupBy("v").agg(F.count(F.lit(1)).alias("m")).join(weight.withColumnRenamed("s", "v"), "v")
+    ends = work.put(ends, "ends")
+    verified = join_groups(ways, ends, ["v"], "m").select(F.col("u").alias("s"), F.col("rows").alias("others"))
+    return work.put(certain.unionByName(verified).groupBy("s").agg(F.sum("others").alias("others")), "link-counts")
+
+
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least identifier that links lead to), class_id (the least with the same set);
+    with ``links`` also n_links (the other rows that this one links to itself, copies included)."""
     work = Workspace(df.sparkSession, "ngram-join")
     digest = work.put(_sets(df, id_col, text_col, "doc_id n s"), "digest")
     nodes = work.put(digest.where("s != 0").groupBy("s").agg(F.max("n").alias("n"), F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("rows")), "nodes")
@@ -211,9 +258,14 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Components are told by their least identifier; a component's rows are pre-aggregated to one a set.
     classed = nodes.join(rooted, nodes["s"] == rooted["node"], "left").select("s", "keep", "rows", F.coalesce("root", "s").alias("root"))
     least = classed.groupBy("root").agg(F.min("keep").alias("component_id"), F.count(F.lit(1)).alias("parts"))
-    several = work.put(join_groups(classed, least, ["root"], "parts").select("s", "keep", "component_id", "rows"), "classes")
-    empty = digest.where("s = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    full = join_groups(digest.where("s != 0"), several, ["s"], "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("keep").alias("class_id"))
+    several = join_groups(classed, least, ["root"], "parts").select("s", "keep", "component_id", "rows")
+    count = []
+    if links:
+        several = several.join(link_counts(work, sets, posted, met, nodes), "s", "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("others", F.lit(0))).drop("others")
+        count = ["n_links"]
+    several = work.put(several, "classes")
+    empty = digest.where("s = 0").select(*[F.lit(0).cast("long").alias(c) for c in count], "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
+    full = join_groups(digest.where("s != 0"), several, ["s"], "rows").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("keep").alias("class_id"), *count)
     return work.finish(full.unionByName(empty))
 
 

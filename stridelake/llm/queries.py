@@ -72,7 +72,7 @@ def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"), links=True)
 
 
 @_query(

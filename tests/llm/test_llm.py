@@ -115,6 +115,22 @@ def test_ngram_join(docs, empty):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, _, c in near_components(corpus()) if i is not None and i == c}
 
 
+def test_ngram_join_counts_every_link(spark):
+    rng = random.Random(3)
+    rows = [(i, t) for i, t, *_ in corpus() if i is not None]
+    for n in (40, 90, 200):  # families that drift: some members link to their neighbours only
+        w = words(rng, n).split()
+        for _ in range(25):
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(n)] = f"drift{rng.randrange(10**6)}"
+            rows.append((len(rows) + 100, " ".join(w[rng.randrange(6) :])))
+    sets = [shingles(t) for _, t in rows]
+    want = Counter((i, sum(1 for b, y in enumerate(sets) if a != b and x and y and 100 * len(x & y) >= 80 * len(x | y))) for a, ((i, _), x) in enumerate(zip(rows, sets)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.n_links) for r in ngram_join.near_classes(df, links=True).collect()) == want
+    assert ngram_join.near_classes(df.limit(0), links=True).count() == 0
+
+
 def test_shingle_hashes_match_sets():
     texts = ["", "a b", "A  b\tc\nd e f", "x y z", "w " * 40]
     hashes, starts = ngram_join.shingle_sets([t.encode() for t in texts])
