@@ -113,11 +113,10 @@ def _enough(overlap: str, a: str, b: str) -> str:
 
 def possible_nodes(work: Workspace, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Step 2: s, n, keep of the sets that may link. A shingle whose least and greatest signatures agree is its set's own."""
-    token = _sets(df, id_col, text_col, "s tokens", COUNTED_SHARE).where("s != 0").select(F.explode("tokens").alias("t"), F.expr("s & 281474976710655L").alias("s48"))
-    own = token.groupBy("t").agg(F.min("s48").alias("s48"), F.max("s48").alias("other")).where("s48 = other")
-    singles = own.groupBy("s48").agg(F.count(F.lit(1)).alias("own"))
-    keyed = nodes.withColumn("s48", F.expr("s & 281474976710655L"))
-    left = keyed.join(singles, "s48", "left").where(f"n - coalesce(own, 0L) >= {_least_overlap('n')}")
+    token = _sets(df, id_col, text_col, "s tokens", COUNTED_SHARE).where("s != 0").select(F.explode("tokens").alias("t"), "s")
+    own = token.groupBy("t").agg(F.min("s").alias("s"), F.max("s").alias("other")).where("s = other")
+    singles = own.groupBy("s").agg(F.count(F.lit(1)).alias("own"))
+    left = nodes.join(singles, "s", "left").where(f"n - coalesce(own, 0L) >= {_least_overlap('n')}")
     return work.put(left.select("s", "n", "keep"), "possible")
 
 

@@ -131,6 +131,15 @@ def test_ngram_join_counts_every_link(spark):
     assert ngram_join.near_classes(df.limit(0), links=True).count() == 0
 
 
+def test_ngram_join_tells_sets_by_the_whole_signature(spark, monkeypatch):
+    whole = ngram_join.signatures
+    monkeypatch.setattr(ngram_join, "signatures", lambda hashes, starts: np.where(np.diff(starts) > 0, (whole(hashes, starts) >> 48 << 48) | 5, 0))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(f"x{k}" for k in range(30)))]
+    got = ngram_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
+
+
 def test_shingle_hashes_match_sets():
     texts = ["", "a b", "A  b\tc\nd e f", "x y z", "w " * 40]
     hashes, starts = ngram_join.shingle_sets([t.encode() for t in texts])
