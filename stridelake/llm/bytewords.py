@@ -1,36 +1,26 @@
 """Vectorised word and span hashing over batches of texts in UTF-8.
 
-All spans of a batch are hashed at once: with S the running sum of table[byte] * base**position modulo
-2**64, the hash of [i, j) is (S[j] - S[i]) * base**-i, mixed by a finaliser. Equal spans have equal hashes wherever they lie.
+A span's hash takes its bytes eight at a time, each piece mixed into the state by a 64-bit finaliser, and its length
+last: no algebra holds over positions, so no family of words collides by construction. Memory is a few times the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
 #: Space, tab, LF, VT, FF, CR.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i for i below n; kept for later batches."""
-    if len(_powers[0]) < n:
-        size = max(n, min(2 * len(_powers[0]), 1 << 21))
-        for k, base in enumerate((_BASE, _UNBASE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Longer spans are hashed one by one.
+LONG = 64
+_SEED = np.uint64(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # the low k bytes of a piece
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,16 +33,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class SpanHash:
-    """Hashes of spans of one byte array."""
+class Spans:
+    """Hashes and comparisons of spans of one byte array."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_TABLE[data] * up[: len(data)], out=self.sums[1:])
-
-    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        self.data = np.concatenate((data, np.zeros(8, np.uint8)))
+        self.eights = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
+
+    def _piece(self, begin: np.ndarray, length: np.ndarray, k: int) -> np.ndarray:
+        return self.eights[begin + k] & _KEEP[np.minimum(length - k, 8)]
+
+    def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """One 64-bit hash a span; equal spans have equal hashes wherever they lie."""
+        length = end - begin
+        h = np.full(len(begin), _SEED)
+        at, left, size = np.arange(len(begin)), begin, length
+        for k in range(0, LONG, 8):
+            if k:
+                more = np.flatnonzero(size > k)
+                if not len(more):
+                    break
+                at, left, size = at[more], left[more], size[more]
+            h[at] = mix(h[at] ^ self._piece(left, size, k)) + _SEED
+        for i in np.flatnonzero(length > LONG).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+        return mix(h + length.astype(np.uint64))
+
+    def equal(self, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> bool:
+        """Whether all spans a equal their spans b, byte by byte."""
+        size = a_end - a
+        if not np.array_equal(size, b_end - b):
+            return False
+        other = np.flatnonzero(a != b)
+        a, b, size, k = a[other], b[other], size[other], 0
+        while len(a) and k < LONG:
+            if not np.array_equal(self._piece(a, size, k), self._piece(b, size, k)):
+                return False
+            k += 8
+            more = size > k
+            a, b, size = a[more], b[more], size[more]
+        return all(np.array_equal(self.data[i + k : i + n], self.data[j + k : j + n]) for i, j, n in zip(a.tolist(), b.tolist(), size.tolist()))
+
+
+def chained(hashes: list[np.ndarray]) -> np.ndarray:
+    """One hash of several in order, as of the words of a shingle."""
+    h = hashes[0]
+    for x in hashes[1:]:
+        h = h * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h += x
+    return mix(h)
 
 
 def batches(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:

@@ -39,7 +39,7 @@ class MergeIndex:
 
     def probe(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows of ``df`` whose text the index holds, with the identifier that the index keeps."""
-        seen = key_filter(self.level, F.col("_digest"), blocks=256)
+        seen = key_filter(self.level, F.col("_digest"))
         digests = df.select(F.col(id_col).alias("_probe"), digest_of(normalised(text_col)).alias("_digest"))
         maybe = flagged(digests, F.col("_digest"), seen).where("_maybe").drop("_maybe")
         return maybe.join(self.level, "_digest").select(F.col("_probe").alias(id_col), F.col("_keep").alias("keep_id"))

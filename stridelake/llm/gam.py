@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import SpanHash, batches, joined, mix, words
+from .bytewords import Spans, batches, joined, mix, words
 from .shared import Workspace
 
 MAX_ROWS = 20_000
@@ -70,8 +70,8 @@ def features(texts: list[bytes]) -> np.ndarray:
     of = owner[begin]
     n_words = np.bincount(of, minlength=n)
     some = np.maximum(n_words, 1).astype(float)
-    spans = SpanHash(data)
-    hashes = spans(begin, end)
+    spans = Spans(data)
+    hashes = spans.hash(begin, end)
     last = kind[end - 1]
     marks = [list(_KINDS).index(x) for x in ("bang", "bar", "sign", "quote")]
     together = of[1:] == of[:-1]
@@ -86,7 +86,7 @@ def features(texts: list[bytes]) -> np.ndarray:
         _distinct(of, hashes, n) / some,
         np.bincount(of, weights=kind[begin] == 0, minlength=n) / some,
         np.bincount(of, weights=np.isin(last, marks), minlength=n) / some,
-        _distinct(of_line, spans(line_begin, feed), n) / np.maximum(np.bincount(of_line, minlength=n), 1),
+        _distinct(of_line, spans.hash(line_begin, feed), n) / np.maximum(np.bincount(of_line, minlength=n), 1),
         (pairs + 1) / np.maximum(n_words, 1),
     ])
 

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, SpanHash, batches, gather, joined
+from .bytewords import LOWER, Spans, batches, gather, joined
 from .shared import Workspace, ranked
 
 END = 0
-#: Distinct words that a worker keeps the ids of, at about 60 bytes each.
+#: Distinct words that a worker keeps the ids of, at about 150 bytes each.
 KNOWN_WORDS = 400_000
 
 # Splits that the tokenizer makes wherever they occur: around white space, and between ASCII letters, digits
@@ -47,15 +47,16 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, hashes: list[int], new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+            known = new[k : k + 4096]
+            part = [w.decode() for w in known]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(got.ids, np.uint32)
             at = np.fromiter((o[0] for o in got.offsets), np.int64, len(ids))
@@ -70,13 +71,16 @@ class WordIds:
             self.flat[self.used : have] = ids
             self.begin[n : n + len(part)] = cut + self.used
             self.length[n : n + len(part)] = np.diff(np.append(cut, len(ids)))
-            self.index.update(zip(hashes[k : k + 4096], range(n, n + len(part))))
+            self.index.update(zip(known, range(n, n + len(part))))
             self.used = have
 
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32) for t in texts]
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text, as the tokenizer gives for the whole text without special tokens added."""
         if any(s in t for t in texts for s in self.specials if s[:2] in t):  # special tokens' strings: case matters there
-            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32) for t in texts]
+            return self._whole(texts)
         data, starts = joined(texts)
         data = LOWER[data]
         kind = _CLASS[data]
@@ -87,18 +91,20 @@ class WordIds:
         begin, end = edge[:-1], edge[1:]
         word = kind[begin] != 8
         begin, end = begin[word], end[word]
-        hashes, first, inverse = np.unique(SpanHash(data)(begin, end), return_index=True, return_inverse=True)
-        if len(self.index) + len(hashes) > KNOWN_WORDS:
+        spans = Spans(data)
+        _, first, inverse = np.unique(spans.hash(begin, end), return_index=True, return_inverse=True)
+        if not spans.equal(begin, end, begin[first][inverse], end[first][inverse]):  # words of one hash that differ
+            return self._whole(texts)
+        if len(self.index) + len(first) > KNOWN_WORDS:
             self._forget()
-        keys = hashes.tolist()
+        raw = data.tobytes()
+        keys = [raw[i:j] for i, j in zip(begin[first].tolist(), end[first].tolist())]
         get = self.index.get
         where = np.fromiter((get(k, -1) for k in keys), np.int64, len(keys))
         missing = np.flatnonzero(where < 0)
         if len(missing):
-            raw = data.tobytes()
-            new = [raw[i:j].decode() for i, j in zip(begin[first[missing]].tolist(), end[first[missing]].tolist())]
             where[missing] = np.arange(len(self.index), len(self.index) + len(missing))
-            self._learn([keys[i] for i in missing.tolist()], new)
+            self._learn([keys[i] for i in missing.tolist()])
         at = where[inverse]
         length = self.length[at]
         ids = gather(self.flat, self.begin[at], length)

@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,28 +92,41 @@ def lower_ascii(text: Column) -> Column:
 
 #: A block of Spark's bitmap functions: 4096 bytes.
 BITMAP_BITS = 32768
+#: Bits a key and most blocks of a filter: 16 MB, for 8 million keys at full accuracy.
+KEY_BITS, MOST_BLOCKS = 16, 4096
 
 
-def key_filter(keys: DataFrame, key: Column, blocks: int = 256) -> DataFrame:
-    """A one-hash Bloom filter of ``key`` as at most ``blocks`` rows of 4 KB (1 MB at 256): its size
-    doesn't depend on the input, so it may be broadcast. A full filter passes every row: slower, never wrong."""
-    slot = F.pmod(F.xxhash64(key), F.lit(blocks * BITMAP_BITS).cast("long"))
-    return (
-        keys.select(slot.alias("_slot"))
+@dataclass(frozen=True)
+class KeyFilter:
+    """A one-hash Bloom filter as rows of 4 KB (_block, _bits). Beyond MOST_BLOCKS it gets fuller, and a full one passes every row: slower, never wrong."""
+
+    rows: DataFrame
+    blocks: int
+
+
+def _slot(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks * BITMAP_BITS).cast("long"))
+
+
+def key_filter(keys: DataFrame, key: Column) -> KeyFilter:
+    """A filter of ``key``, sized by the number of keys (a written table is counted from its footers) and small enough to broadcast."""
+    blocks = min(MOST_BLOCKS, max(8, -(-keys.count() * KEY_BITS // BITMAP_BITS)))
+    rows = (
+        keys.select(_slot(key, blocks).alias("_slot"))
         .groupBy((F.col("_slot") / BITMAP_BITS).cast("int").alias("_block"))
         .agg(F.bitmap_construct_agg((F.col("_slot") % BITMAP_BITS)).alias("_bits"))
     )
+    return KeyFilter(rows, blocks)
 
 
-def flagged(df: DataFrame, key: Column, bloom: DataFrame, flag: str = "_maybe", blocks: int = 256) -> DataFrame:
+def flagged(df: DataFrame, key: Column, bloom: KeyFilter, flag: str = "_maybe") -> DataFrame:
     """``df`` with a boolean: False means that ``key`` is certainly not in the filter."""
-    slot = F.pmod(F.xxhash64(key), F.lit(blocks * BITMAP_BITS).cast("long"))
     bit = F.col("_slot") % BITMAP_BITS
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (
-        df.withColumn("_slot", slot)
+        df.withColumn("_slot", _slot(key, bloom.blocks))
         .withColumn("_block", (F.col("_slot") / BITMAP_BITS).cast("int"))
-        .join(F.broadcast(bloom), "_block", "left")
+        .join(F.broadcast(bloom.rows), "_block", "left")
         .withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0, F.lit(False)))
         .drop("_slot", "_block", "_bits")
     )

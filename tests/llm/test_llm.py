@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stridelake.llm import exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, pii, transport_stream, warc_bundle
+from stridelake.llm import bytewords, exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, pii, transport_stream, warc_bundle
 from stridelake.llm.queries import ORACLES, QUERIES
 from stridelake.llm.shared import Workspace
 
@@ -140,6 +140,81 @@ def test_ngram_join_tells_sets_by_the_whole_signature(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
 
 
+def test_ngram_join_lists_links_in_cells_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    rng = random.Random(6)
+    base = words(rng, 140).split()
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(140)] = f"edit{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, f"{words(rng, 30)} {' '.join(base[:20])}") for i in range(10)]  # a shared passage, no link
+    least, sets = {}, {}
+    for i, t in rows:
+        sets.setdefault(shingles(t), i)
+        least[i] = sets[shingles(t)]
+    kinds = list(sets.items())
+    want = {(i, j, len(x & y)) for x, i in kinds for y, j in kinds if i < j and 100 * len(x & y) >= 80 * len(x | y)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.near_links(df).collect()
+    assert {(min(r.class_a, r.class_b), max(r.class_a, r.class_b), r.shared) for r in got} == want and len(got) == len(want) > 50
+    classes = ngram_join.near_classes(df, links=True).collect()
+    assert {r.doc_id: r.class_id for r in classes} == least
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in classes) == near_components([(*r, None, None) for r in rows])
+    size = Counter(least.values())
+    links = Counter()
+    for i, j, _ in want:
+        links[i] += size[j]
+        links[j] += size[i]
+    assert {r.doc_id: r.n_links for r in classes} == {i: size[least[i]] - 1 + links[least[i]] for i in least}
+
+
+def test_keep_one_goes_by_rows(spark):
+    text = words(random.Random(1), 40)
+    rows = [(3, text), (5, text + " more"), (5, "an unrelated text of some more words"), (3, text), (7, None), (7, None), (None, text), (None, "alone here")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert Counter(map(tuple, kept.collect())) == Counter([rows[0], rows[2], rows[4], rows[5], rows[7]])
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_defeat_polynomial_hashes(spark, n):
+    tokenizers = pytest.importorskip("tokenizers")
+    a = thue_morse(n)
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = ngram_join.shingle_sets([a.encode(), b.encode()])
+    assert hashes[0] != hashes[1]
+    tokenizer = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    got = packing.WordIds(packing.default_tokenizer()).encode([a.encode(), b.encode(), a.encode()])
+    assert [x.tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b, a)]
+
+
+def test_span_hashes_and_comparisons():
+    rng = random.Random(9)
+    parts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 7, 8, 9, 16, 63, 64, 65, 200]))) for _ in range(400)] * 2
+    data, starts = bytewords.joined(parts)
+    spans = bytewords.Spans(data)
+    begin, end = starts[:-1], starts[1:] - 1
+    hashes = spans.hash(begin, end)
+    assert len({*hashes.tolist()}) == len({*parts}) and (hashes[:400] == hashes[400:]).all()
+    assert spans.equal(begin[:400], end[:400], begin[400:], end[400:])
+    for k in range(0, 400, 7):
+        for m in range(k, 400, 31):
+            assert spans.equal(begin[[k]], end[[k]], begin[[m]], end[[m]]) == (parts[k] == parts[m])
+
+
+def test_words_of_one_hash_go_to_the_tokenizer_whole(monkeypatch):
+    monkeypatch.setattr(bytewords.Spans, "hash", lambda self, begin, end: (end - begin).astype(np.uint64))
+    encoder = packing.WordIds(packing.default_tokenizer())
+    texts = ["one two six", "abc"]
+    assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_shingle_hashes_match_sets():
     texts = ["", "a b", "A  b\tc\nd e f", "x y z", "w " * 40]
     hashes, starts = ngram_join.shingle_sets([t.encode() for t in texts])
