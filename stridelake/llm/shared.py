@@ -108,25 +108,30 @@ def _slot(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks * BITMAP_BITS).cast("long"))
 
 
+def filter_blocks(n_keys: int, most: int = MOST_BLOCKS) -> int:
+    return min(most, max(8, -(-n_keys * KEY_BITS // BITMAP_BITS)))
+
+
+def filter_rows(keys: DataFrame, key: Column, blocks: int, *by: str) -> DataFrame:
+    """[by,] _block, _bits of the filter of ``key``, or of one filter for each ``by``."""
+    slots = keys.select(*by, _slot(key, blocks).alias("_slot"))
+    return slots.groupBy(*by, (F.col("_slot") / BITMAP_BITS).cast("int").alias("_block")).agg(F.bitmap_construct_agg((F.col("_slot") % BITMAP_BITS)).alias("_bits"))
+
+
 def key_filter(keys: DataFrame, key: Column) -> KeyFilter:
     """A filter of ``key``, sized by the number of keys (a written table is counted from its footers) and small enough to broadcast."""
-    blocks = min(MOST_BLOCKS, max(8, -(-keys.count() * KEY_BITS // BITMAP_BITS)))
-    rows = (
-        keys.select(_slot(key, blocks).alias("_slot"))
-        .groupBy((F.col("_slot") / BITMAP_BITS).cast("int").alias("_block"))
-        .agg(F.bitmap_construct_agg((F.col("_slot") % BITMAP_BITS)).alias("_bits"))
-    )
-    return KeyFilter(rows, blocks)
+    blocks = filter_blocks(keys.count())
+    return KeyFilter(filter_rows(keys, key, blocks), blocks)
 
 
-def flagged(df: DataFrame, key: Column, bloom: KeyFilter, flag: str = "_maybe") -> DataFrame:
-    """``df`` with a boolean: False means that ``key`` is certainly not in the filter."""
+def flagged(df: DataFrame, key: Column, bloom: KeyFilter, flag: str = "_maybe", by: str | None = None) -> DataFrame:
+    """``df`` with a boolean: False means that ``key`` is certainly not in the filter (with ``by``, that of its row's value)."""
     bit = F.col("_slot") % BITMAP_BITS
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return (
         df.withColumn("_slot", _slot(key, bloom.blocks))
         .withColumn("_block", (F.col("_slot") / BITMAP_BITS).cast("int"))
-        .join(F.broadcast(bloom.rows), "_block", "left")
+        .join(F.broadcast(bloom.rows), [*([by] if by else []), "_block"], "left")
         .withColumn(flag, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_slot % 8 as int))")) != 0, F.lit(False)))
         .drop("_slot", "_block", "_bits")
     )
