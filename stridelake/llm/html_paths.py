@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node has a root-to-leaf tag path. Per path, text length and punctuation are summed over its
-nodes and divided by their number; the ratios are smoothed over paths that share much of their way
-from the root, fused to one score, and thresholded by the scores' spread over the page. The content
+nodes and divided by their number; the ratios are smoothed over paths that are near each other in the tree
+of paths, fused to one score, and thresholded by the scores' spread over the page. The content
 node is the deepest container that holds all paths above the threshold, or the article around it; all its
 text is content, and so are headings that stand before it in the containers around it, but for elements that are never main text: menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments, known by element or by class and id.
@@ -17,8 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 # Elements without a text of their own, elements and words in class or id that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style noscript template iframe textarea title object select".split())
 BOILERPLATE = frozenset("head nav header footer aside form button dialog menu fieldset label".split()) | RAW
 MARKS = frozenset(
     """ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr
@@ -48,31 +47,58 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。，！？¿¡؟،।]")
 TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<bogus>[!?/][^>]*+(?:>|\Z))|(?P<rough>[a-zA-Z][^>]*+(?:>|\Z)))""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
+NUMBER = re.compile(r"&#(?=[0-9])0*+([0-9]*+)(;?)")
+# Elements of other languages, and the elements of HTML that end them where they stand.
+FOREIGN = frozenset("svg math".split())
+FOREIGN_TAG = re.compile(r"""<(?P<slash>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: What a step between two paths leaves of their closeness.
+NEAR = 0.55
 
 
 class Page:
-    """Text nodes of a page: path (a tuple of elements), block number, text."""
+    """Text nodes of a page (path, block number, text) and the tree of its tag paths.
+
+    A path is a number: ``parent`` and ``element`` tell its way from the root, path 0. Parents come before their children, so
+    one pass over the numbers, up or down, sees the whole tree: reading and scoring are linear in the page, however deep it is.
+    """
 
     def __init__(self, source: str):
-        self.nodes: list[tuple[tuple[str, ...], int, str]] = []
+        self.parent, self.element = [-1], [""]
+        self._known: dict[tuple[int, str], int] = {}
+        self.nodes: list[tuple[int, int, str]] = []
         self._read(source)
 
+    def _step(self, path: int, element: str) -> int:
+        """The path one element on."""
+        found = self._known.get((path, element))
+        if found is None:
+            found = self._known[path, element] = len(self.parent)
+            self.parent.append(path)
+            self.element.append(element)
+        return found
+
     def _read(self, source: str) -> None:
-        stack: list[str] = []
-        marks: list[bool] = []  # boilerplate from here on down
-        block, at, path = 0, 0, ()
+        paths, marks = [0], [False]  # of the open elements, and whether all from here on down is boilerplate
+        names = [""]
+        open_at: dict[str, list[int]] = {}  # where in the stack elements of a name are
+        block, at = 0, 0
         search = TAG.search
 
         def cut(depth: int) -> None:
-            nonlocal path
-            del stack[depth:], marks[depth:]
-            path = tuple(stack)
+            for name in reversed(names[depth:]):
+                open_at[name].pop()
+            del paths[depth:], marks[depth:], names[depth:]
+
+        def last(of: Iterable[str]) -> int:
+            return max((open_at[x][-1] for x in of if open_at.get(x)), default=0)
 
         while True:
             tag = search(source, at)
             text = source[at : tag.start()] if tag else source[at:]
-            if text and not (marks and marks[-1]):
-                self.nodes.append((path, block, text))
+            if text and not marks[-1]:
+                self.nodes.append((paths[-1], block, text))
             if not tag:
                 return
             at = tag.end()
@@ -83,33 +109,31 @@ class Page:
             if name in BLOCKS:
                 block += 1
             if tag["slash"]:
-                bare = [x.partition("#")[0] for x in stack]
-                if name in bare:
-                    cut(len(bare) - 1 - bare[::-1].index(name))
+                if open_at.get(name):
+                    cut(open_at[name][-1])
                 continue
             if name == "br":
-                if not (marks and marks[-1]):
-                    self.nodes.append((path, block, " "))
+                if not marks[-1]:
+                    self.nodes.append((paths[-1], block, " "))
                 continue
             if name in VOID:
                 continue
+            attrs = tag["attrs"] or ""
+            if name in FOREIGN:
+                if not SELF_CLOSED.search(attrs):
+                    at = _end_of_foreign(source, at, name)
+                continue
             if name in RAW:  # its content isn't markup
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            if name in ENDS_PARAGRAPH and "p" in stack:
-                cut(len(stack) - 1 - stack[::-1].index("p"))
+            if name in ENDS_PARAGRAPH and open_at.get("p"):
+                cut(open_at["p"][-1])
             if name in ENDS:
                 ended, limit = ENDS[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    bare = stack[k].partition("#")[0]
-                    if bare in limit:
-                        break
-                    if bare in ended:
-                        cut(k)
-                        break
+                if last(ended) > last(limit):
+                    cut(last(ended))
             element, marked = name, name in BOILERPLATE
-            attrs = tag["attrs"] or ""
             if attrs and not marked:
                 words: set[str] = set()
                 for kind, a, b, c in ATTRIBUTE.findall(attrs):
@@ -122,72 +146,66 @@ class Page:
                     marked |= not words.isdisjoint(MARKS)
                 if words and name in CONTAINERS and name not in ("html", "body"):
                     element = f"{name}#{' '.join(sorted(words))}"
-            stack.append(element)
-            marks.append(marked or bool(marks and marks[-1]))
-            path = tuple(stack)
+            open_at.setdefault(name, []).append(len(paths))
+            paths.append(self._step(paths[-1], element))
+            marks.append(marked or marks[-1])
+            names.append(name)
 
 
-def _smoothed(ratios: dict[tuple[str, ...], tuple[float, float]], weights: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], tuple[float, float]]:
-    """Weighted means of both ratios over all paths, a path's weight times the fourth power of its closeness: the share
-    of the longer path that both have from the root on. Sums are kept per prefix and length, so no pair of paths is
-    formed: a path that shares k steps is met at k prefixes, whose factors add up to k**4.
-    """
-    ids: dict[tuple[int, str], int] = {}
-    ways: dict[tuple[str, ...], list[int]] = {}
-    sums: dict[int, dict[int, list[float]]] = {}
-    for p, (text, marks) in ratios.items():
-        way = ways[p] = []
-        w = weights[p]
-        for step in p:
-            way.append(ids.setdefault((way[-1] if way else 0, step), len(ids) + 1))
-            entry = sums.setdefault(way[-1], {}).setdefault(len(p), [0.0, 0.0, 0.0])
-            entry[0] += w
-            entry[1] += w * text
-            entry[2] += w * marks
-    # Per prefix: lengths, sums up to each length, and sums over length**4 from each length on.
-    tables = {}
-    for node, by_length in sums.items():
-        lengths = sorted(by_length)
-        upto, beyond = [(0.0, 0.0, 0.0)], [(0.0, 0.0, 0.0)]
-        for n in lengths:
-            upto.append(tuple(x + y for x, y in zip(upto[-1], by_length[n])))
-        for n in reversed(lengths):
-            beyond.append(tuple(x + y / n**4 for x, y in zip(beyond[-1], by_length[n])))
-        tables[node] = lengths, upto, beyond[::-1]
-    out = {}
-    for p, way in ways.items():
-        total = text = marks = 0.0
-        power = len(p) ** 4
-        for k, node in enumerate(way, 1):
-            lengths, upto, beyond = tables[node]
-            at = bisect_right(lengths, len(p))
-            factor = k**4 - (k - 1) ** 4
-            total += factor * (upto[at][0] / power + beyond[at][0])
-            text += factor * (upto[at][1] / power + beyond[at][1])
-            marks += factor * (upto[at][2] / power + beyond[at][2])
-        out[p] = (text / total, marks / total) if way else ratios[p]
-    return out
+def _end_of_foreign(source: str, at: int, name: str) -> int:
+    """Where an svg or math element ends: at its end tag, or before an HTML element that can't be in it."""
+    depth = 1
+    for tag in FOREIGN_TAG.finditer(source, at):
+        found = tag["name"].lower()
+        if found == name:
+            depth += -1 if tag["slash"] else not SELF_CLOSED.search(tag["attrs"])
+            if not depth:
+                return tag.end()
+        elif found == "foreignobject":
+            end = re.compile(rf"</{name}\s*>", re.I).search(source, tag.end())
+            return end.end() if end else len(source)
+        elif not tag["slash"] and found in BREAKS_OUT:
+            return tag.start()
+    return len(source)
+
 
+def path_scores(page: Page) -> dict[int, tuple[float, int, int]]:
+    """Per path with text: the smoothed and fused ratio, text length and number of nodes.
 
-def path_scores(nodes: list[tuple[tuple[str, ...], int, str]]) -> dict[tuple[str, ...], tuple[float, int, int]]:
-    """Per path: the smoothed and fused ratio, text length and number of nodes."""
-    sums: dict[tuple[str, ...], list[int]] = {}
-    for path, _, text in nodes:
+    Smoothing takes weighted means of both ratios over all paths of the page; a path's weight is the root of its number of nodes,
+    times NEAR for every step between the two in the tree. Sums go up the tree once and down once.
+    """
+    sums: dict[int, list[int]] = {}
+    for path, _, text in page.nodes:
         length = len(text) if text.strip() else 0
         if length:
             entry = sums.setdefault(path, [0, 0, 0])
             entry[0] += length
             entry[1] += len(PUNCTUATION.findall(text))
             entry[2] += 1
-    ratios = {p: (n / k, q / k) for p, (n, q, k) in sums.items()}
-    weights = {p: math.sqrt(k) for p, (_, _, k) in sums.items()}
-    smooth = _smoothed(ratios, weights)
-    return {p: (text * math.log1p(marks) + math.log1p(text), sums[p][0], sums[p][2]) for p, (text, marks) in smooth.items()}
+    n = len(page.parent)
+    below = [(0.0, 0.0, 0.0)] * n
+    for p, (length, marks, k) in sums.items():
+        w = math.sqrt(k)
+        below[p] = w, w * length / k, w * marks / k
+    for p in range(n - 1, 0, -1):
+        up = page.parent[p]
+        if below[p][0]:
+            below[up] = tuple(x + NEAR * y for x, y in zip(below[up], below[p]))
+    around = below[:]
+    for p in range(1, n):
+        around[p] = tuple(x + NEAR * (y - NEAR * x) for x, y in zip(below[p], around[page.parent[p]]))
+    out = {}
+    for p, (length, _, k) in sums.items():
+        total, text, marks = around[p]
+        text, marks = max(text / total, 0.0), max(marks / total, 0.0)
+        out[p] = text * math.log1p(marks) + math.log1p(text), length, k
+    return out
 
 
-def content_root(nodes: list[tuple[tuple[str, ...], int, str]], spread: float = 0.5) -> tuple[str, ...] | None:
+def content_root(page: Page, spread: float = 0.5) -> int | None:
     """The path of the deepest container of all paths whose score passes the threshold, or of the article that it is in."""
-    scores = path_scores(nodes)
+    scores = path_scores(page)
     if not scores:
         return None
     n = sum(k for _, _, k in scores.values())
@@ -195,39 +213,54 @@ def content_root(nodes: list[tuple[tuple[str, ...], int, str]], spread: float =
     deviation = math.sqrt(sum(k * (s - mean) ** 2 for s, _, k in scores.values()) / n)
     best = max(s for s, _, _ in scores.values())
     least = min(best, spread * (deviation or best))
-    chosen = [p for p, (s, _, _) in scores.items() if s >= least]
-    first, last = min(chosen), max(chosen)
-    root = first[: next((k for k, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))]
-    names = [x.partition("#")[0] for x in root]
-    if "article" in names:  # all of an article is its text, short parts too
-        return root[: len(names) - names[::-1].index("article")]
-    while root and root[-1].partition("#")[0] not in CONTAINERS:
-        root = root[:-1]
+    chosen = [0] * len(page.parent)
+    for p, (s, _, _) in scores.items():
+        chosen[p] = int(s >= least)
+    total = sum(chosen)
+    for p in range(len(chosen) - 1, 0, -1):
+        chosen[page.parent[p]] += chosen[p]
+    root = max(p for p, k in enumerate(chosen) if k == total)  # those with all chosen paths below are one way down
+    bare = lambda p: page.element[p].partition("#")[0]
+    way = root
+    while way > 0 and bare(way) != "article":
+        way = page.parent[way]
+    if way > 0:  # all of an article is its text, short parts too
+        return way
+    while root > 0 and bare(root) not in CONTAINERS:
+        root = page.parent[root]
     return root
 
 
-def _heads(path: tuple[str, ...], root: tuple[str, ...]) -> bool:
-    """Whether a path is in a heading that is a child of a container around the root."""
-    at = next((k for k, x in enumerate(path) if x in HEADINGS), None)
-    return at is not None and at < len(root) and path[:at] == root[:at]
-
-
 def main_text(source: str) -> str:
-    nodes = Page(source).nodes
-    root = content_root(nodes)
+    page = Page(source)
+    root = content_root(page)
     if root is None:
         return ""
+    around = {0}  # the containers around the root
+    way = page.parent[root]
+    while way > 0:
+        around.add(way)
+        way = page.parent[way]
+    inside, heads = [root == 0], [False]
+    for p in range(1, len(page.parent)):
+        up = page.parent[p]
+        inside.append(p == root or inside[up])
+        heads.append(heads[up] or page.element[p] in HEADINGS and up in around)
     blocks: dict[int, list[str]] = {}
     begun = False
-    for path, block, text in nodes:
-        inside = path[: len(root)] == root
-        begun |= inside and bool(text.strip())
-        if inside or not begun and _heads(path, root):
+    for path, block, text in page.nodes:
+        begun |= inside[path] and bool(text.strip())
+        if inside[path] or not begun and heads[path]:
             blocks.setdefault(block, []).append(text)
-    lines = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
+    lines = (" ".join(html.unescape(NUMBER.sub(_short_number, "".join(parts))).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)
 
 
+def _short_number(reference: re.Match) -> str:
+    """A decimal character reference beyond any code point is the replacement character; its digits are never converted."""
+    return f"&#{reference[1] or '0'}" if len(reference[1]) <= 7 else "�" + reference[2] * 0
+
+
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page; no shuffle."""
     source = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
