@@ -75,63 +75,46 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), links=True)
 
 
-@_query(
-    "op7_line_runs",
-    r"""
+def _runs_sql(min_lines: int, min_words: int) -> str:
+    """SQL twin of ``line_runs.run_report``: windows of 1, 2, 4, ... lines as lists, for sequences of up to 32,768 lines."""
+    return rf"""
     with lines as (
         select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
         from documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) as g(i)
     ),
-    pairs as (
-        select *, lead(line) over (partition by doc_id order by i) as next, regexp_matches(line, '[^\x20\x09-\x0D]') as word,
-            regexp_matches(lead(line) over (partition by doc_id order by i), '[^\x20\x09-\x0D]') as next_word
-        from lines
-    ),
-    later as (
-        select doc_id, i from (
-            select doc_id, i, row_number() over (partition by line, next order by doc_id, i) as nth from pairs where word and next_word
-        ) where nth > 1
-    ),
-    gone as (select doc_id, i from later union select doc_id, i + 1 from later),
-    marked as (select l.*, g.i is not null as deleted from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i),
-    starts as (
-        select doc_id, i, sum(case when before is null or before < i - 1 then 1 else 0 end) over (partition by doc_id order by i) as run
-        from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from marked where deleted)
+    filled as (select *, row_number() over (partition by doc_id order by i) - 1 as k, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
+    seqs as (select doc_id, list(line order by k) as seq, list(words order by k) as words from filled group by doc_id),
+    windows as (
+        select doc_id, k, n, words[k + 1] as words, seq[k + 1 : k + n] as content
+        from seqs, (select cast(pow(2, unnest(range(0, 16))) as bigint) as n), unnest(range(0, len(seq) - n + 1)) as g(k) where n <= len(seq)
     ),
-    runs as (select doc_id, count(*) as n_runs, max(n) as longest_run from (select doc_id, run, count(*) as n from starts group by doc_id, run) group by doc_id)
+    firsts as (select *, min(struct_pack(d := doc_id, k := k)) over (partition by n, content) as f from windows),
+    copies as (select doc_id, k, n, k + n as stop, f.d as d, f.k - k as shift, n = 1 and words >= {min_words} as long from firsts where (doc_id != f.d or k != f.k) and (n > 1 or {min_lines} = 1 or words >= {min_words})),
+    deepest as (select *, bool_or(long) over (partition by doc_id, k) as any_long from copies qualify n = max(n) over (partition by doc_id, k)),
+    opened as (select *, max(stop) over (partition by doc_id, d, shift order by k rows between unbounded preceding and 1 preceding) as before from deepest),
+    numbered as (select *, sum(case when before >= k then 0 else 1 end) over (partition by doc_id, d, shift order by k) as run from opened),
+    found as (select doc_id, d, shift, run, min(k) as a, max(stop) as b from numbered group by 1, 2, 3, 4 having max(stop) - min(k) >= {min_lines} or bool_or(any_long)),
+    outers as (select * from (select *, max(b) over (partition by doc_id order by a, b desc, d rows between unbounded preceding and 1 preceding) as past from found) where past is null or past < b),
+    totals as (select doc_id, count(*) as n_runs, max(b - a) as longest_run from outers group by doc_id),
+    gone as (select distinct o.doc_id, unnest(generate_series(x.i, y.i)) as i from outers o join filled x on x.doc_id = o.doc_id and x.k = o.a join filled y on y.doc_id = o.doc_id and y.k = o.b - 1),
+    marked as (select l.*, g.i is not null as deleted from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i)
     select m.doc_id, count(*) as n_lines, count(*) filter (where deleted) as n_deleted,
-        coalesce(max(r.n_runs), 0) as n_runs, coalesce(max(r.longest_run), 0) as longest_run,
+        coalesce(max(t.n_runs), 0) as n_runs, coalesce(max(t.longest_run), 0) as longest_run,
         sha256(coalesce(string_agg(line, chr(10) order by m.i) filter (where not deleted), '')) as kept_sha256
-    from marked m left join runs r on r.doc_id = m.doc_id group by m.doc_id
-    """,
-)
+    from marked m left join totals t on t.doc_id = m.doc_id group by m.doc_id
+    """
+
+
+@_query("op7_line_runs", _runs_sql(2, line_runs.MIN_WORDS))
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copied runs of two lines or more, and copied lines of MIN_WORDS words or more."""
     return line_runs.run_report(table(spark, sf_dir, "documents"))
 
 
-@_query(
-    "op7_all_runs",
-    r"""
-    with lines as (
-        select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] as line
-        from documents, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) as g(i)
-    ),
-    filled as (select *, row_number() over (partition by doc_id order by i) as k from lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
-    later as (select doc_id, i, k from (select *, row_number() over (partition by line order by doc_id, i) as nth from filled) where nth > 1),
-    numbered as (select doc_id, i, k - row_number() over (partition by doc_id order by k) as run from later),
-    runs as (select doc_id, run, min(i) as a, max(i) as b from numbered group by doc_id, run),
-    totals as (select doc_id, count(*) as n_runs, max(b - a + 1) as longest_run from runs group by doc_id),
-    gone as (select distinct doc_id, unnest(generate_series(a, b)) as i from runs),
-    marked as (select l.*, g.i is not null as deleted from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i)
-    select m.doc_id, count(*) as n_lines, count(*) filter (where deleted) as n_deleted,
-        coalesce(max(t.n_runs), 0) as n_runs, coalesce(max(t.longest_run), 0) as longest_run,
-        sha256(coalesce(string_agg(line, chr(10) order by m.i) filter (where not deleted), '')) as kept_sha256
-    from marked m left join totals t on t.doc_id = m.doc_id group by m.doc_id
-    """,
-)
+@_query("op7_all_runs", _runs_sql(1, 1))
 def op7_all_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of one line too, and across blank lines, which op7_line_runs with its SQL leaves."""
-    return line_runs.run_report(table(spark, sf_dir, "documents"), min_lines=1, skip_blank=True)
+    """Copied lines of any length, too."""
+    return line_runs.run_report(table(spark, sf_dir, "documents"), min_lines=1)
 
 
 @_query("op5_contextual_pii")
