@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,11 +24,13 @@ from .shared import WORD, Workspace, ranked
 
 #: Cells that one row is expanded to at a time.
 CHUNK = 65536
+#: So many sources may be broadcast, at some 200 bytes each.
+FEW_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``sources``: _key, source_size, target. ``stream``: doc_id, size, _key, rank, start.
+    """``sources``: _key, source_size, target. ``stream``: doc_id, size, _key, _text, _mixed, rank, start.
     ``slots``: _key, slot, block, epoch, words, position (the place in the mix, ascending)."""
 
     work: Workspace
@@ -36,6 +38,21 @@ class Mix:
     stream: DataFrame
     slots: DataFrame
     block_words: int
+    seed: int
+
+
+def _measured(text_col: str, source_col: str) -> list[Column]:
+    """_key (the source, null last), size (words) and _text (the text's hash)."""
+    return [
+        F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("_key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col)).alias("_text"),
+    ]
+
+
+def _shuffled(seed: int) -> Column:
+    """A row's place in its source's shuffled order."""
+    return F.xxhash64("doc_id", F.lit(seed))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -63,17 +80,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 def schedule(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """The schedule of a mix of ``share`` times all words, with no source beyond ``most`` times its size."""
     work = Workspace(df.sparkSession, "mix")
-    sizes = work.put(
-        df.select(
-            F.col(id_col).alias("doc_id"),
-            F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("_key"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(text_col)).alias("_text"),
-        ),
-        "sizes",
-    )
+    sizes = work.put(df.select(F.col(id_col).alias("doc_id"), *_measured(text_col, source_col)), "sizes")
     sources = work.put(source_targets(sizes, weights, share, most).withColumn("_goal", F.round("target").cast("long")), "sources")
-    stream = work.put(ranked(sizes, ["_key"], F.xxhash64("doc_id", F.lit(seed)), [F.col("doc_id"), F.col("_text"), F.col("size")], amount="size").drop("_text"), "stream")
+    shuffled = sizes.withColumn("_mixed", _shuffled(seed))
+    stream = work.put(ranked(shuffled, ["_key"], F.col("_mixed"), [F.col("doc_id"), F.col("_text"), F.col("size")], amount="size"), "stream")
 
     per_epoch = F.ceil(F.col("source_size") / block_words)
     full = F.floor(F.col("_goal") / F.col("source_size"))
@@ -94,7 +104,7 @@ def schedule(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
         .withColumn("block", F.col("slot") - F.col("epoch") * per_epoch)
         .withColumn("words", F.least(F.lit(block_words).cast("long"), F.col("source_size") - F.col("block") * block_words, F.col("_goal") - F.col("epoch") * F.col("source_size") - F.col("block") * block_words))
     )
-    return Mix(work, sources, stream, work.put(slots.select("_key", "slot", "block", "epoch", "words", "position"), "slots"), block_words)
+    return Mix(work, sources, stream, work.put(slots.select("_key", "slot", "block", "epoch", "words", "position"), "slots"), block_words, seed)
 
 
 def segments(mix: Mix) -> DataFrame:
@@ -127,7 +137,7 @@ def taken_words(mix: Mix) -> DataFrame:
         .agg(F.sum("_got").alias("_got"))
     )
     sources = mix.sources.select("_key", "source_size", "target")
-    if mix.sources.count() <= 100_000:  # else it isn't small, and a plain join serves
+    if mix.sources.count() <= FEW_SOURCES:  # else it isn't small, and a plain join serves
         sources = F.broadcast(sources)
     return mix.stream.join(got, ["_key", "rank"], "left").join(sources, "_key").select("doc_id", "size", "source_size", "target", F.coalesce("_got", F.lit(0)).alias("taken"))
 
@@ -140,12 +150,28 @@ def mix_sources(df: DataFrame, **options) -> DataFrame:
 def apply_mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, to the nearest whole document: only where a
     source's target ends does the mix cut a document. Wordless documents pass once. Rows that share
-    identifier, source and text share their count."""
+    identifier, source and text share their count.
+
+    The schedule's last epoch reads a source's stream up to one place, so per source a number of passes and one
+    place in the shuffled order tell how often any row is taken: that table has a row a source, and no text is shuffled.
+    """
     mix = schedule(df, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    count = mix.work.put(taken_words(mix).groupBy("doc_id", "size").agg(F.round(F.avg(times)).cast("int").alias("_times")).withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size"), "times")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_id0"), size.alias("_size0"))
-    out = rows.join(count, F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_size0") == F.col("_size"))).where("_times > 0")
-    mix.work.keep("times")
+    epochs = mix.slots.groupBy("_key", "epoch").agg(F.sum("words").alias("_words")).join(mix.sources.select("_key", "source_size"), "_key")
+    whole = F.col("_words") == F.col("source_size")
+    passes = epochs.groupBy("_key").agg(F.sum(whole.cast("int")).alias("_passes"), F.coalesce(F.sum(F.when(~whole, F.col("_words"))), F.lit(0)).alias("_rest"))
+    place = [F.col(c) for c in ("_mixed", "doc_id", "_text", "size")]
+    ended = mix.stream.where("size > 0").join(passes.where("_rest > 0"), "_key").where("start < _rest and _rest <= start + size")
+    # Equal rows at the end share their count: one more if at least half of their words are taken.
+    edge = ended.select("_key", "_rest", F.struct(*place).alias("_edge"))
+    twins = mix.stream.join(edge, "_key").where(F.struct(*place).eqNullSafe(F.col("_edge")))
+    cut = twins.groupBy("_key", "_edge").agg((2 * (F.max("_rest") - F.min("start")) >= F.sum("size")).cast("int").alias("_more"))
+    cuts = mix.work.put(mix.sources.select("_key").join(passes.select("_key", "_passes"), "_key", "left").join(cut, "_key", "left"), "cuts")
+    if cuts.count() <= FEW_SOURCES:  # else it isn't small, and a plain join serves
+        cuts = F.broadcast(cuts)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("doc_id"), *_measured(text_col, source_col)).withColumn("_mixed", _shuffled(mix.seed))
+    here = F.struct(*place)
+    last = F.when(here < F.col("_edge"), 1).when(here.eqNullSafe(F.col("_edge")), F.col("_more")).otherwise(0)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.coalesce("_passes", F.lit(0)) + F.when(F.col("_edge").isNull(), 0).otherwise(last)).cast("int")
+    out = rows.join(cuts, "_key").withColumn("_times", times).where("_times > 0")
+    mix.work.keep("cuts")
     return out.withColumn("_nth", F.explode(F.expr("sequence(1, _times)"))).select("_row.*")
