@@ -1,11 +1,14 @@
 """Personal data by bootstrapped contextual extraction.
 
 Plain patterns find the certain entities (e-mail addresses, IP addresses, card and phone numbers); these are the
-seeds. The words around a seed make lexical patterns, and the same patterns around other identifier-like
-strings link those to the seeds' kind. Spark scores this graph of patterns and instances in rounds: a pattern's
-confidence in a kind is the mean score of its instances that could be of that kind, smoothed, and an unseen instance's
-score is the noisy-or of its patterns. Instances that end above ``least_score`` are personal data wherever they occur,
-and so are strings that spell a seed in another way.
+seeds. The words around a seed make lexical patterns, exact ones and general ones (its shape, single words, labels with
+their punctuation, a gap for a word, what follows), and the same patterns around other identifier-like strings link those to
+the seeds' kind. Spark scores this graph of patterns and instances in rounds. A pattern's trust in a kind is the sum of
+its instances' scores for that kind, over the number of its instances of any kind and one: what stands before cards and
+addresses alike tells nothing. Patterns with enough certain instances and trust vote, and an unseen instance's score is the
+noisy-or of their trust. Instances above ``least_score`` are certain from the next round on, so that they make patterns
+of their own. Those that end above it are personal data wherever they occur, and so are strings that spell a seed in
+another way. A string without the form of a kind (a card's check digit, an address's parts) never gets that kind.
 
 Spans are (kind, start, end) in code points, end exclusive. The seeds' spans always stay.
 
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .shared import Workspace, join_groups
+from .shared import Workspace
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -47,6 +50,7 @@ _CANDIDATE = re.compile(
     )(?![\w@])""",
     re.X,
 )
+_RUN = re.compile(r"[0-9]+|[^\W0-9_]+")
 _WORD = re.compile(r"\w+")
 _CONTEXT = 80  # code points to either side that hold the context's words
 
@@ -72,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not _DIGIT.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])
@@ -86,13 +90,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def possible_kinds(value: str) -> list[int]:
-    """Kinds that an identifier-like string could be, by its shape alone."""
-    digits = len(_NOT_DIGIT.sub("", value))
-    if "@" in value or re.search(r"\bat\b", value):
+    """Kinds that an identifier-like string could be, by its form alone."""
+    digits = _NOT_DIGIT.sub("", value)
+    if "@" in value or re.search(r"\bat\b|[\[(]at[\])]", value):
         return [0]
     if value.count(":") >= 3:
         return [1]
-    return [k for k, yes in ((1, value.count(".") == 3 and digits <= 12), (2, 13 <= digits <= 19), (3, 7 <= digits <= 15)) if yes]
+    parts = value.split(".")
+    ip = len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    return [k for k, yes in ((1, ip), (2, 13 <= len(digits) <= 19 and luhn(digits)), (3, 7 <= len(digits) <= 15)) if yes]
 
 
 def same_value(value: str) -> str:
@@ -103,27 +109,35 @@ def same_value(value: str) -> str:
     return _NOT_DIGIT.sub("", value)
 
 
+def shape(value: str) -> str:
+    """Runs of digits as their length, runs of letters as one."""
+    return _RUN.sub(lambda m: f"d{len(m[0])}" if m[0][0].isdigit() else "a", value)
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a slot: the three or two words before it, and one to either side, on its line."""
+    """Lexical patterns of a slot, on its line: its own shape, one to three words before it, the same with a gap, a label with
+    its punctuation, one word to either side, and one or two after it. Numbers are told from words, not from each other."""
     before = text[max(0, start - _CONTEXT) : start].rpartition("\n")[2]
     after = text[end : end + _CONTEXT].partition("\n")[0]
-    left = [w.lower() for w in _WORD.findall(before)][-3:]
-    right = [w.lower() for w in _WORD.findall(after)][:1]
-    left = ["0" if w.isdigit() else w for w in left]
-    out = []
-    if len(left) == 3:
-        out.append("<" + " ".join(left))
+    plain = lambda w: "0" if w.isdigit() else w
+    left = [plain(w.lower()) for w in _WORD.findall(before)][-3:]
+    right = [plain(w.lower()) for w in _WORD.findall(after)][:2]
+    out = ["=" + shape(text[start:end])] + ["<" + " ".join(left[-k:]) for k in (1, 2, 3) if len(left) >= k]
     if len(left) >= 2:
-        out.append("<" + " ".join(left[-2:]))
+        out.append(f"<{left[-2]} *")
+    label = before[len(before.rstrip(" :=#-\"'(<[")) :].strip()
+    if left and label:
+        out.append(f"<{left[-1]}{label}")
     if left and right:
         out.append(f"{left[-1]}_{right[0]}")
+    out += [">" + " ".join(right[:k]) for k in (1, 2) if len(right) >= k]
     return out
 
 
-def slots(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str, list[str]]]]:
-    """The certain spans, and (kind or -1, start, end, value, patterns) of every seed and candidate."""
+def slots(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[bool, int, int, str, list[int], list[str]]]]:
+    """The certain spans, and (seed, start, end, value, kinds, patterns) of every seed and candidate."""
     spans = base_spans(text)
-    out = [(k, a, b, same_value(text[a:b]), contexts(text, a, b)) for k, a, b in spans]
+    out = [(True, a, b, same_value(text[a:b]), [k], contexts(text, a, b)) for k, a, b in spans]
     if _DIGIT.search(text) or any(sign in text for sign in ("@", "[at]", "(at)", " dot ", "[dot]", "(dot)")):
         taken = sorted((a, b) for _, a, b in spans)
         i = 0
@@ -133,60 +147,66 @@ def slots(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
                 i += 1
             if any(x < b and a < y for x, y in taken[i : i + 8]):
                 continue
-            if possible_kinds(m[0].lower()):
-                out.append((-1, a, b, same_value(m[0]), contexts(text, a, b)))
+            if kinds := possible_kinds(m[0].lower()):
+                out.append((False, a, b, same_value(m[0]), kinds, contexts(text, a, b)))
     return spans, out
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_key, spans (certain ones), slots (seeds and candidates with their patterns). Reads every text once."""
-    source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Per row: doc_id, spans (certain ones), slots (seeds and candidates with their patterns). Reads every text once."""
+    source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    slot = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+    slot = pa.list_(pa.struct([("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("kinds", pa.list_(pa.int32())), ("patterns", pa.list_(pa.string()))]))
 
     def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            found = [slots(value.as_py()) for value in batch.column(2)]
+            found = [slots(value.as_py()) for value in batch.column(1)]
             spans = [[dict(zip(("kind", "start", "end"), x)) for x in f[0]] for f in found]
-            others = [[dict(zip(("kind", "start", "end", "value", "patterns"), x)) for x in f[1]] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(others, slot)], names=["doc_id", "text_key", "spans", "slots"])
+            others = [[dict(zip(("seed", "start", "end", "value", "kinds", "patterns"), x)) for x in f[1]] for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, span), pa.array(others, slot)], names=["doc_id", "spans", "slots"])
 
     return source.mapInArrow(
         read,
-        f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key long, spans array<struct<kind: int, start: long, end: long>>, "
-        "slots array<struct<kind: int, start: long, end: long, value: string, patterns: array<string>>>",
+        f"doc_id {source.schema['doc_id'].dataType.simpleString()}, spans array<struct<kind: int, start: long, end: long>>, "
+        "slots array<struct<seed: boolean, start: long, end: long, value: string, kinds: array<int>, patterns: array<string>>>",
     )
 
 
-def _kinds_of(value: str) -> str:
-    """SQL twin of possible_kinds(): an array of kinds."""
-    digits = f"length(regexp_replace({value}, '[^0-9]', ''))"
-    dots, colons = (f"length({value}) - length(replace({value}, '{c}', ''))" for c in ".:")
-    return f"""case when {value} rlike '@|\\\\bat\\\\b' then array(0) when {colons} >= 3 then array(1)
-        else filter(array(if({dots} = 3 and {digits} <= 12, 1, null), if({digits} between 13 and 19, 2, null), if({digits} between 7 and 15, 3, null)), k -> k is not null) end"""
-
-
-def discovered(work: Workspace, found: DataFrame, rounds: int = 3, least_score: float = 0.7, least_seeds: int = 3) -> DataFrame:
-    """value, kind of unseen identifiers that the pattern graph is sure of."""
-    slot = found.select(F.explode("slots").alias("x")).select("x.*")
-    edge = slot.select(F.explode("patterns").alias("pattern"), "value", "kind")
-    # Patterns with enough different seeds of a kind, and something unseen, can tell us anything; few can.
-    seeds = edge.where("kind >= 0").distinct()
-    strong = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= least_seeds)
-    unseen = edge.where("kind < 0").select("pattern", "value").distinct()
-    unseen = unseen.withColumn("kind", F.explode(F.expr(_kinds_of("value"))))
-    strong = work.put(strong, "strong")
-    links = work.put(join_groups(unseen, strong, ["pattern", "kind"], "seeds"), "links")  # pattern, value, kind, seeds
-    scores = None
+def graph(work: Workspace, found: DataFrame) -> DataFrame:
+    """pattern, value, kind, seed: the edges between patterns and instances; written once, read every round."""
+    slot = found.select(F.explode("slots").alias("x")).select("x.seed", "x.value", F.explode("x.kinds").alias("kind"), "x.patterns")
+    edge = slot.select(F.explode("patterns").alias("pattern"), "value", "kind", "seed")
+    return work.put(edge.groupBy("pattern", "value", "kind").agg(F.max("seed").alias("seed")), "graph")
+
+
+def scored(work: Workspace, edges: DataFrame, rounds: int = 3, least_score: float = 0.7, least_seeds: int = 2, least_trust: float = 0.5) -> DataFrame:
+    """value, kind, score of the instances that any pattern vouches for, after all rounds.
+
+    Only patterns of unseen instances are followed. Sums over patterns are aggregated before they are shuffled, and a
+    general pattern with very many instances is one row when it meets them.
+    """
+    asked = edges.groupBy("pattern").agg(F.max((~F.col("seed")).cast("int")).alias("asks"), F.count_distinct("value").alias("n")).where("asks = 1").select("pattern", "n")
+    edges = work.put(edges.join(asked, "pattern"), "asked")
+    unseen, scores = edges.where("not seed"), None
     for k in range(rounds):
-        scored = links.withColumn("score", F.lit(0.0)) if scores is None else links.join(scores, ["value", "kind"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        trust = scored.groupBy("pattern", "kind").agg(F.max("seeds").alias("seeds"), F.sum("score").alias("sure"), F.count(F.lit(1)).alias("n"))
-        trust = trust.select("pattern", "kind", "n", ((F.col("seeds") + F.col("sure")) / (F.col("seeds") + F.col("n") + 1)).alias("trust"))
-        trust = work.put(trust, f"trust-{k}")
-        voted = join_groups(links, trust, ["pattern", "kind"], "n")
-        scores = work.put(voted.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score")), f"scores-{k}")
-    spelled = slot.where("kind < 0").select("value").distinct().withColumn("kind", F.explode(F.expr(_kinds_of("value"))))
-    spelled = spelled.join(slot.where("kind >= 0").select("value", "kind").distinct(), ["value", "kind"]).withColumn("score", F.lit(1.0))
+        held = edges.withColumn("score", F.col("seed").cast("double"))
+        if scores is not None:
+            known = scores.select("value", "kind", F.when(F.col("score") >= least_score, 1.0).otherwise(F.col("score")).alias("found"))
+            held = held.join(known, ["value", "kind"], "left").withColumn("score", F.greatest("score", F.coalesce("found", F.lit(0.0))))
+        trust = held.groupBy("pattern", "kind").agg((F.sum("score") / (F.max("n") + 1)).alias("trust"), F.sum((F.col("score") >= 1).cast("int")).alias("certain"))
+        trust = work.put(trust.where((F.col("certain") >= least_seeds) & (F.col("trust") >= least_trust)).select("pattern", "kind", "trust"), f"trust-{k}")
+        voted = unseen.select("pattern", "value", "kind").join(trust, ["pattern", "kind"])
+        # Rounded, as the order of a sum is not fixed.
+        scores = work.put(voted.groupBy("value", "kind").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("trust")))), 9).alias("score")), f"scores-{k}")
+    return scores
+
+
+def discovered(work: Workspace, found: DataFrame, least_score: float = 0.7, **options) -> DataFrame:
+    """value, kind of unseen identifiers that the pattern graph is sure of, or that spell a seed in another way."""
+    edges = graph(work, found)
+    scores = scored(work, edges, least_score=least_score, **options)
+    slot = found.select(F.explode("slots").alias("x")).select("x.seed", "x.value", F.explode("x.kinds").alias("kind")).groupBy("value", "kind").agg(F.max("seed").alias("seen"), F.max(~F.col("seed")).alias("unseen"))
+    spelled = slot.where("seen and unseen").select("value", "kind", F.lit(1.0).alias("score"))
     best = scores.where(F.col("score") >= least_score).unionByName(spelled).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("x"))
     return work.put(best.select("value", (-F.col("x.col2")).alias("kind")), "discovered")
 
@@ -194,15 +214,13 @@ def discovered(work: Workspace, found: DataFrame, rounds: int = 3, least_score:
 def find_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: doc_id, base and spans, arrays of (kind, start, end) by kind and start; kind is an index of KINDS."""
     work = Workspace(df.sparkSession, "pii")
-    found = work.put(scan(df, id_col, text_col), "scan")
+    found = work.put(scan(df, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "scan")  # written: the numbers are fixed
     unseen = discovered(work, found, **options)
-    places = found.select(F.col("doc_id").cast("string").alias("_id"), "text_key", F.explode("slots").alias("x")).where("x.kind < 0").select("_id", "text_key", F.col("x.value").alias("value"), F.col("x.start").alias("start"), F.col("x.end").alias("end")).distinct()
-    counts = work.put(places.join(unseen, "value", "left_semi").groupBy("value").agg(F.count(F.lit(1)).alias("places")).join(unseen, "value"), "places")
-    new = join_groups(places, counts, ["value"], "places").groupBy(F.coalesce("_id", F.lit("")).alias("_id"), "text_key").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end")).alias("new"))
-    both = found.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(new, ["_id", "text_key"], "left")
+    places = found.select("_row", F.explode("slots").alias("x")).where("not x.seed").select("_row", F.col("x.value").alias("value"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    new = places.join(unseen, "value").groupBy("_row").agg(F.collect_list(F.struct(F.col("kind").cast("int").alias("kind"), "start", "end")).alias("new"))
     spans: ArrayType = found.schema["spans"].dataType
     added = F.coalesce(F.col("new").cast(spans), F.array().cast(spans))
-    return work.finish(both.select("doc_id", F.sort_array("spans").alias("base"), F.sort_array(F.concat("spans", added)).alias("spans")))
+    return work.finish(found.join(new, "_row", "left").select("doc_id", F.sort_array("spans").alias("base"), F.sort_array(F.concat("spans", added)).alias("spans")))
 
 
 def _written(column: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stridelake.llm import bytewords, exact_dedup, gam, html_paths, line_runs, mixing, ngram_join, packing, pii, transport_stream, warc_bundle
 from stridelake.llm.queries import ORACLES, QUERIES
-from stridelake.llm.shared import Workspace
+from stridelake.llm.shared import Workspace, flagged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names operators use inside.
@@ -80,6 +80,24 @@ def test_exact_dedup(docs, empty):
         exact_dedup.kept_id("newest")
 
 
+def test_merge_index_takes_further_memtables(spark, docs):
+    rows = [(i, t) for i, t, *_ in corpus()]
+    index = exact_dedup.new_index(spark)
+    parts = [[r for k, r in enumerate(rows) if k % 6 == j] for j in range(6)]
+    for j, part in enumerate(parts):
+        index.add(spark.createDataFrame(part, "doc_id long, text string").repartition(3))
+        assert sum(map(len, index.levels)) == (j + 1 if j < 3 else j - 2) and [len(x) for x in index.levels][-1] >= 1
+        groups = defaultdict(list)
+        for i, t in (r for p in parts[: j + 1] for r in p):
+            groups[hashlib.sha256(lower(t).encode()).digest()].append(i)
+        want = {d: (min((i for i in ids if i is not None), default=None), len(ids)) for d, ids in groups.items()}
+        assert {bytes(r._digest): (r._keep, r._entries) for r in index.level().collect()} == want
+    split = flagged(index.levels[0][0].withColumn("_run", F.lit(0)).unionByName(index.levels[1][0].withColumn("_run", F.lit(1))), F.col("_digest"), exact_dedup.other_filters(exact_dedup._numbered([index.levels[0][0], index.levels[1][0]])), by="_run")
+    assert split.where("not _maybe").count() > 0 < split.where("_maybe").count()  # only what the runs may share is merged
+    everything = spark.createDataFrame(rows, "doc_id long, text string")
+    assert exact_dedup.entries(index, everything).where("_stays").count() == len({lower(t) for _, t in rows})
+
+
 def shingles(text):
     w = WORD.findall(lower(text))
     return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
@@ -255,7 +273,27 @@ def test_mixing(docs, empty):
     half = slots.iloc[: len(slots) // 2]  # any stretch holds the sources in proportion
     share, whole = half.groupby("_key").size() / len(half), slots.groupby("_key").size() / len(slots)
     assert (share - whole).abs().max() < 0.05
-    assert mixing.apply_mix(docs, block_words=64).columns == docs.columns
+    applied = mixing.apply_mix(docs, block_words=64)
+    assert applied.columns == docs.columns
+    taken = Counter()
+    for r in applied.select("source", "text").collect():
+        taken[r.source] += len(WORD.findall(r.text or ""))
+    longest = {s: max(len(WORD.findall(t or "")) for _, t, x, _ in corpus() if x == s) for s in size}
+    assert all(abs(taken[s] - by_size[size[s]]) <= longest[s] / 2 + 1 for s in size)
+    assert mixing.apply_mix(empty).count() == 0
+
+
+def test_apply_mix_goes_by_source_and_text(spark):
+    rows = [(1, "a b c d", "A"), (1, "w x y z", "B"), (1, "p q r s", "B"), (2, "one two", None), (2, "one two", None), (3, None, "A"), (None, "k l m n", "B")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(map(tuple, mixing.apply_mix(df).collect()))
+    want = {r.doc_id: r for r in mixing.mix_sources(df.where("doc_id = 2")).collect()}
+    assert got[rows[0]] == 2 and got[rows[5]] == 1 and max(got.values()) <= 4 and want[2].taken <= 4
+    per_row = {(r.doc_id, r.size, r.source_size): r.taken for r in mixing.mix_sources(df).collect()}
+    assert per_row[1, 4, 4] == 8
+    b = sum(n for r, n in got.items() if r[2] == "B") * 4
+    target = next(r.target for r in mixing.mix_sources(df).collect() if r.source_size == 12)
+    assert abs(b - target) <= 2 and got == Counter(map(tuple, mixing.apply_mix(df.repartition(3)).collect()))
 
 
 def test_best_fit_plan_equals_best_fit_on_documents():
@@ -399,21 +437,47 @@ def test_html_keeps_the_parts_beside_a_long_one(page, n):
 @pytest.mark.parametrize("n", [40, 1000])
 def test_html_paths_are_smoothed_on_pages_of_any_size(n):
     rng = random.Random(n)
-    nodes = [(("html", *(f"div#{rng.choice('abcd')}" for _ in range(rng.randrange(12)))), k, "Some text, and more. " * rng.randrange(1, 9)) for k in range(n)] + [((), n, "bare, text")]
+    source = "".join("".join(f"<div class={rng.choice('pqrs')}>" for _ in range(d)) + "Some text, and more. " * rng.randrange(1, 9) + "</div>" * d for d in (rng.randrange(12) for _ in range(n)))
+    page = html_paths.Page(source)
+
+    def way(p):
+        return () if p <= 0 else (*way(page.parent[p]), p)
+
     rows = defaultdict(list)
-    for path, _, text in nodes:
+    for path, _, text in page.nodes:
         rows[path].append((len(text), len(html_paths.PUNCTUATION.findall(text))))
     assert (len(rows) > 200) == (n > 200)
     weight = {p: math.sqrt(len(x)) for p, x in rows.items()}
     mean = {p: [sum(y) / len(x) for y in zip(*x)] for p, x in rows.items()}
-    near = lambda a, b: 1.0 if a == b else (len(os.path.commonprefix([a, b])) / max(len(a), len(b))) ** 4
-    got = html_paths.path_scores(nodes)
-    for p in rows:
-        w = {o: near(p, o) * weight[o] for o in rows}
+    ways = {p: way(p) for p in rows}
+    got = html_paths.path_scores(page)
+    assert got.keys() == rows.keys()
+    for p in list(rows)[:60]:
+        w = {o: weight[o] * html_paths.NEAR ** (len(ways[p]) + len(ways[o]) - 2 * len(os.path.commonprefix([ways[p], ways[o]]))) for o in rows}
         text, marks = (sum(w[o] * mean[o][k] for o in rows) / sum(w.values()) for k in (0, 1))
         assert got[p][0] == pytest.approx(text * math.log1p(marks) + math.log1p(text), rel=1e-9)
 
 
+def test_html_of_other_languages_and_long_references():
+    text = html_paths.main_text
+    assert text('<p>first</p><svg class="icon"/><p>second</p>') == "first\nsecond"
+    assert text("<p>a <svg><g><svg/><text>no</text></g></svg> b</p>") == "a b" and text("<p>a</p><math><mi>x</mi><p>b</p>") == "a\nb"
+    assert text("<p>a</p><svg><foreignObject><p>no</p></foreignObject></svg><p>b</p>") == "a\nb" and text("<p>a</p><svg>") == "a"
+    for n in (8, 5000):
+        assert text(f"<p>x &#{'9' * n}; y &#{'0' * n}65; z") == "x \ufffd y A z"
+    assert text("<p>&#65 &#; &#x41; &# &amp;#65;") == "A &#; A &# &#65;"
+
+
+def test_deep_pages_are_read_in_linear_time():
+    import time
+
+    begun = time.process_time()
+    deep = "<div>" * 20_000 + "Deep text, as it is." + "<p>more.</div>" * 20_000
+    assert html_paths.main_text(deep).startswith("Deep text, as it is.\nmore.\nmore.")
+    assert html_paths.main_text("<ul><li>" * 20_000 + "x") == "x"
+    assert time.process_time() - begun < 8
+
+
 def test_classifier(spark, docs, empty):
     rng = random.Random(5)
     good = [(i, words(rng, 80).capitalize() + ".") for i in range(300)]
@@ -486,65 +550,131 @@ def test_contextual_pii(spark, empty):
     assert pii.find_spans(empty).count() == 0
 
 
-def deleted_lines(rows, length):
-    """Indexes of lines in any later copy of `length` lines."""
+def brute_scores(rows, rounds=3, least_score=0.7, least_seeds=2, least_trust=0.5):
+    edges, seeds = defaultdict(set), set()
+    for _, t in rows:
+        for seed, _, _, value, kinds, patterns in pii.slots(t or "")[1]:
+            for k in kinds:
+                if seed:
+                    seeds.add((value, k))
+                for p in patterns:
+                    edges[p].add((value, k, seed))
+    scores = {}
+    for _ in range(rounds):
+        votes = defaultdict(list)
+        for found in edges.values():
+            certain_here = {(v, k) for v, k, seed in found if seed}
+            if all((v, k) in certain_here for v, k, _ in found):
+                continue
+            n = len({v for v, _, _ in found})
+            for kind in {k for _, k, _ in found}:
+                value = {v: 1.0 if (v, kind) in certain_here or scores.get((v, kind), 0) >= least_score else scores.get((v, kind), 0.0) for v, k, _ in found if k == kind}
+                trust = sum(value.values()) / (n + 1)
+                if sum(x >= 1 for x in value.values()) >= least_seeds and trust >= least_trust:
+                    for v in value:
+                        if (v, kind) not in certain_here:
+                            votes[v, kind].append(trust)
+        scores = {x: round(1 - math.prod(1 - t for t in ts), 9) for x, ts in votes.items()}
+    return scores
+
+
+def test_pattern_graph_bootstraps(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{words(rng, 3)} please call me at +1 (555) 010-{1000 + i} today") for i in range(8)]
+    rows += [(20 + i, f"please call me at 555 867 53{i:02} now") for i in range(3)]  # found by the seeds' context
+    rows += [(30 + i, f"{words(rng, 2)} reach the desk under 555 867 53{i:02} ok") for i in range(3)]  # a second context of theirs
+    rows += [(40, "reach the desk under 555/111/2222 ok"), (41, "ask 555/999/0000 then"), (42, "card 1219538112535716 isn't one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    work = Workspace(spark, "t")
+    got = {(r.value, r.kind): r.score for r in pii.scored(work, pii.graph(work, pii.scan(df))).collect()}
+    want = brute_scores(rows)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    found = {r.value for r in pii.discovered(work, pii.scan(df)).collect()}
+    assert {"5558675300", "5558675302", "5551112222"} <= found and not {"5559990000", "1219538112535716"} & found
+    once = {r.value for r in pii.scored(work, pii.graph(work, pii.scan(df)), rounds=1).collect()}
+    assert "5558675300" in once and "5551112222" not in once
+
+
+def test_long_digit_strings(spark):
+    texts = ["0" * 5000 + ".1.1.1", "9" * 5000 + ".1.1.1", "1." * 4000, "0" * 6000]
+    assert [len(pii.base_spans(t)) for t in texts[:2]] == [1, 0]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (None, ""), (None, "+1 (555) 010-1000")], "doc_id long, text string")
+    got = pii.digest(pii.find_spans(df)).collect()
+    assert len(got) == 7 and sum(r.n_phone for r in got) == 1 and [r.n_ip for r in got if r.doc_id == 0] == [1]
+
+
+def brute_runs(rows, min_lines, min_words):
+    """Per document: the text that stays, n_deleted, n_runs, longest_run, by windows of 1, 2, 4, ... lines."""
     docs = sorted({(-1 if i is None else i, t or "") for i, t in rows})
-    seen, gone = set(), defaultdict(set)
-    for i, t in docs:
-        lines = t.split("\n")
-        for k in range(len(lines) - length + 1):
-            window = tuple(lines[k : k + length])
-            if all(WORD.search(x) for x in window):
-                if window in seen:
-                    gone[i].update(range(k, k + length))
-                seen.add(window)
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in docs}, gone
-
-
-@pytest.mark.parametrize("length", [1, 2])
-def test_line_runs(spark, empty, length):
-    rng = random.Random(8)
-    rows = [(i, "\n".join(rng.choice(["aa", "bb", "cc", "", " ", "dd ee"]) for _ in range(rng.randrange(12)))) for i in range(25)]
-    rows += [(100, None), (None, "aa\nbb"), (101, "solo\nline"), (102, "\n".join(f"l{k}" for k in range(40))), (103, "\n".join(f"l{k}" for k in range(40))), (104, "r " * 50_000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH}).repartition(3)
-    texts, gone = deleted_lines(rows, length)
-    got = {r.doc_id: r for r in line_runs.run_report(df, min_lines=length).collect()}
-    for i, t in rows:
-        key = -1 if i is None else i
-        assert got[i].kept_sha256 == hashlib.sha256(texts[key].encode()).hexdigest(), (i, t)
-        assert (got[i].n_lines, got[i].n_deleted) == (len((t or "").split("\n")), len(gone[key]))
-    assert got[103].longest_run == 40 and got[103].n_runs == 1
-    if length == 2:
-        cleaned = line_runs.delete_runs(df)
-        assert cleaned.columns == df.columns and cleaned.where("doc_id = 100").first().text is None and cleaned.where("doc_id = 103").first().text == ""
-        assert line_runs.run_report(empty).count() == 0
-        with pytest.raises(ValueError):
-            line_runs.copied_runs(Workspace(spark, "t"), df, min_lines=3)
+    seqs = [[(k, x) for k, x in enumerate(t.split("\n")) if WORD.search(x)] for _, t in docs]
+    first, deepest = {}, [{} for _ in docs]
+    for n in (2**j for j in range(12)):
+        for d, seq in enumerate(seqs):
+            for k in range(len(seq) - n + 1):
+                at = first.setdefault((n, tuple(x for _, x in seq[k : k + n])), (d, k))
+                if at != (d, k) and (n > 1 or min_lines == 1 or len(WORD.findall(seq[k][1])) >= min_words):
+                    long = n == 1 and len(WORD.findall(seq[k][1])) >= min_words or bool(deepest[d].get(k, (0, 0, 0, 0))[3])
+                    deepest[d][k] = (n, at[0], at[1] - k, long)
+    out = {}
+    for d, (i, t) in enumerate(docs):
+        runs, open_ = [], {}
+        for k, (n, of, shift, long) in sorted(deepest[d].items()):
+            run = open_.get((of, shift))
+            if run and run[1] >= k:
+                run[1], run[2] = max(run[1], k + n), run[2] or long
+            else:
+                run = open_[of, shift] = [k, k + n, long]
+                runs.append(run)
+        runs = {(a, b) for a, b, long in runs if b - a >= min_lines or long}
+        runs = [(a, b) for a, b in runs if not any((x, y) != (a, b) and x <= a and b <= y for x, y in runs)]
+        gone = {x for a, b in runs for x in range(seqs[d][a][0], seqs[d][b - 1][0] + 1)}
+        out[i] = ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone), len(runs), max((b - a for a, b in runs), default=0))
+    return out
 
 
-ONE_LINE = [(1, "a b\nonly here\nc"), (2, "x\na b\ny"), (3, "c\na b")]
 PARAGRAPHS = [(1, "p one\n\np two\n \np three\n\nend"), (2, "start\n\np one\n\n\np two\n\np three\n\nlast"), (3, "p two\n\nelse")]
+OVERLAPS = [(1, "l1\nl2"), (2, "l2\nl3"), (3, "l1\nl2\nl3"), (4, "x\nl1\nl2\nl3\ny")]
 
 
-def test_line_runs_of_one_line(spark, tmp_path):
-    spark.createDataFrame(ONE_LINE, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_deleted, r.n_runs, r.longest_run, r.kept_sha256) for r in QUERIES["op7_all_runs"](spark, str(tmp_path)).collect()}
-    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert got == {1: (0, 0, 0, sha(ONE_LINE[0][1])), 2: (1, 1, 1, sha("x\ny")), 3: (2, 1, 2, sha(""))}
+def run_rows():
+    rng = random.Random(8)
+    rows = [(i, "\n".join(rng.choice(["aa", "bb", "cc", "", " ", "dd ee", "a line of five words"]) for _ in range(rng.randrange(14)))) for i in range(25)]
+    rows += [(100, None), (None, "aa\nbb"), (101, "solo\nline"), (102, "\n".join(f"l{k}" for k in range(41))), (103, "\n".join(f"l{k}" for k in range(41))), (104, "r " * 50_000), (105, "own\n" + "\n".join(f"l{k}" for k in range(7, 20)))]
+    return rows
+
+
+@pytest.mark.parametrize("min_lines, min_words", [(1, 1), (2, 5), (3, 30)])
+def test_line_runs(spark, empty, min_lines, min_words):
+    rows = run_rows()
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH}).repartition(3)
+    want = brute_runs(rows, min_lines, min_words)
+    for r in line_runs.run_report(df, min_lines=min_lines, min_words=min_words).collect():
+        text, n_deleted, n_runs, longest = want[-1 if r.doc_id is None else r.doc_id]
+        assert (r.kept_sha256, r.n_deleted, r.n_runs, r.longest_run) == (hashlib.sha256(text.encode()).hexdigest(), n_deleted, n_runs, longest), r
+    assert want[103][1:] == (41, 1, 41) and want[105][1:] == (13, 1, 13)
+    if min_lines == 2:
+        cleaned = line_runs.delete_runs(df)
+        assert cleaned.columns == df.columns and cleaned.where("doc_id = 100").first().text is None and cleaned.where("doc_id = 103").first().text == ""
+        assert line_runs.run_report(empty).count() == 0
+        with pytest.raises(ValueError):
+            line_runs.copied_runs(Workspace(spark, "t"), df, min_lines=0)
 
 
-def test_line_runs_across_blank_lines(spark):
+def test_runs_are_what_repeats_as_a_whole(spark):
+    got = {r.doc_id: (r.n_deleted, r.n_runs, r.longest_run) for r in line_runs.run_report(spark.createDataFrame(OVERLAPS, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0, 0), 2: (0, 0, 0), 3: (3, 2, 2), 4: (3, 2, 2)}
     df = spark.createDataFrame(PARAGRAPHS, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_runs.delete_runs(df, skip_blank=True).collect()} == {1: PARAGRAPHS[0][1], 2: "start\n\n\nlast", 3: PARAGRAPHS[2][1]}
-    got = {r.doc_id: (r.n_lines, r.n_deleted, r.n_runs, r.longest_run) for r in line_runs.run_report(df, skip_blank=True).collect()}
-    assert got == {1: (7, 0, 0, 0), 2: (10, 6, 1, 6), 3: (3, 0, 0, 0)}
+    assert {r.doc_id: r.text for r in line_runs.delete_runs(df).collect()} == {1: PARAGRAPHS[0][1], 2: "start\n\n\nlast", 3: PARAGRAPHS[2][1]}
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, f"a b\n{long}\nc"), (2, f"x\n{long}\na b\ny")]
+    assert {r.doc_id: r.text for r in line_runs.delete_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: rows[0][1], 2: "x\na b\ny"}
 
 
-@pytest.mark.parametrize("rows", [ONE_LINE, PARAGRAPHS, [(k, f"{k % 3}\n\n\t\n{k % 2}\n{k}\n{k % 5}") for k in range(12)]])
-def test_all_runs_equal_their_sql(spark, tmp_path, rows):
+@pytest.mark.parametrize("name, rows", [("op7_all_runs", PARAGRAPHS), ("op7_all_runs", [(k, f"{k % 3}\n\n\t\n{k % 2}\n{k}\n{k % 5}") for k in range(12)]), ("op7_line_runs", OVERLAPS), ("op7_line_runs", [r for r in run_rows() if r[0] is not None])])
+def test_runs_equal_their_sql(spark, tmp_path, name, rows):
     duckdb = pytest.importorskip("duckdb")
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     columns = ["doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", "kept_sha256"]
-    got = QUERIES["op7_all_runs"](spark, str(tmp_path)).select(*columns).collect()
-    sql = ORACLES["op7_all_runs"].replace("from documents,", f"from read_parquet('{tmp_path}/documents.parquet/*.parquet') as documents,")
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns).collect()
+    sql = ORACLES[name].replace("from documents,", f"from read_parquet('{tmp_path}/documents.parquet/*.parquet') as documents,")
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
