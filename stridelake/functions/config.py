@@ -8,23 +8,35 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .kernels import ESTIMATORS as KNOWN
+from .kernels import LAMBDA
+
 ESTIMATORS = ("sample", "ledoit_wolf", "ewma")
 OBJECTIVES = ("min_variance", "max_sharpe")
-CONFIG_SCHEMA = "config_idx int, estimator string, objective string, lookback int, rebalance_every int, long_only boolean, rf_annual double, label string"
+STEPS = ("exact", "power")
+CONFIG_SCHEMA = "config_idx int, estimator string, objective string, lookback int, rebalance_every int, long_only boolean, rf_annual double, lam double, step string, label string"
 
 
 @dataclass(frozen=True)
 class Config:
+    """``lam`` is an option of estimators (ewma's decay); ``step`` is how the minimum-variance step size is found."""
+
     estimator: str = "ledoit_wolf"
     objective: str = "min_variance"
     lookback: int = 252
     rebalance_every: int = 21
     long_only: bool = True
     rf_annual: float = 0.0
+    lam: float = LAMBDA
+    step: str = "exact"
 
     def __post_init__(self) -> None:
-        if self.estimator not in ESTIMATORS:
-            raise ValueError(f"unknown estimator {self.estimator!r}; one of {', '.join(ESTIMATORS)}")
+        if self.estimator not in KNOWN:
+            raise ValueError(f"unknown estimator {self.estimator!r}; one of {', '.join(KNOWN)}")
+        if not 0 < self.lam < 1:
+            raise ValueError(f"lam must be in (0, 1), got {self.lam}")
+        if self.step not in STEPS:
+            raise ValueError(f"unknown step {self.step!r}; one of {', '.join(STEPS)}")
         if self.objective not in OBJECTIVES:
             raise ValueError(f"unknown objective {self.objective!r}; one of {', '.join(OBJECTIVES)}")
         if self.lookback < 2 or self.rebalance_every < 1:

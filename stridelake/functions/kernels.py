@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+#: Matrices that are solved together: what a core's cache holds.
+BLOCK_BYTES = 4 << 20
 PERIODS, LAMBDA, JITTER = 252, 0.94, 1e-10
 MIN_VARIANCE_STEPS, MAX_SHARPE_STEPS = 500, 5000
 
@@ -45,15 +49,46 @@ def cov_ewma(x: np.ndarray, lam: float = LAMBDA) -> np.ndarray:
     return c.transpose(0, 2, 1) @ c
 
 
-ESTIMATORS = {"sample": cov_sample, "ledoit_wolf": cov_ledoit_wolf, "ewma": cov_ewma}
+#: Name -> function of a (K, T, N) stack of windows and options. ``register_estimator`` adds to it.
+ESTIMATORS: dict[str, Callable[..., np.ndarray]] = {"sample": lambda x, **_: cov_sample(x), "ledoit_wolf": lambda x, **_: cov_ledoit_wolf(x), "ewma": lambda x, lam=LAMBDA, **_: cov_ewma(x, lam)}
+
+
+def register_estimator(name: str, function: Callable[..., np.ndarray]) -> None:
+    """Make a function of a (K, T, N) stack of windows known by ``name`` to configurations and workloads; it gets the options of the
+    configuration (``lam``) as keywords and travels to executors with the workload."""
+    if not name or "|" in name:
+        raise ValueError(f"an estimator's name must not be empty or hold '|': {name!r}")
+    ESTIMATORS[name] = function
 
 
 def simplex_rows(v: np.ndarray) -> np.ndarray:
     """Each row's nearest point of the unit simplex."""
     down = -np.sort(-v, axis=1)
     over = (np.cumsum(down, axis=1) - 1) / np.arange(1, v.shape[1] + 1)
-    last = v.shape[1] - 1 - np.argmax((down > over)[:, ::-1], axis=1)
-    return np.maximum(v - over[np.arange(len(v)), last][:, None], 0.0)
+    return np.maximum(v - over.max(axis=1)[:, None], 0.0)
+
+
+def simplex_rows_bisection(v: np.ndarray, steps: int = 30) -> np.ndarray:
+    """The same point by halving the interval of the threshold: a fixed amount of work without a sort."""
+    low, high = v.min(axis=1) - 1.0, v.max(axis=1)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        above = np.maximum(v - middle[:, None], 0.0).sum(axis=1) > 1
+        low, high = np.where(above, middle, low), np.where(above, high, middle)
+    return np.maximum(v - ((low + high) / 2)[:, None], 0.0)
+
+
+def simplex_rows_from(v: np.ndarray, threshold: np.ndarray, most: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """The same point and its threshold, by Newton's steps on the threshold from a guess: the sum over what it leaves is convex
+    and piecewise linear, so after one step the threshold only grows, and it ends when what is left doesn't change."""
+    threshold = np.minimum(threshold, v.max(axis=1) - 1 / v.shape[1])  # something is always left
+    for _ in range(most):
+        left = v > threshold[:, None]
+        again = ((v * left).sum(axis=1) - 1) / left.sum(axis=1)
+        if np.array_equal(again, threshold):
+            break
+        threshold = again
+    return np.maximum(v - threshold[:, None], 0.0), threshold
 
 
 def top_eigenvalue(cov: np.ndarray, method: str = "exact", steps: int = 50) -> np.ndarray:
@@ -69,16 +104,52 @@ def top_eigenvalue(cov: np.ndarray, method: str = "exact", steps: int = 50) -> n
 
 
 def min_variance(cov: np.ndarray, long_only: bool = True, steps: int = MIN_VARIANCE_STEPS, step: str = "exact") -> np.ndarray:
-    """(K, N) weights: projected gradient with a fixed number of steps, or the closed form."""
+    """(K, N) weights: projected gradient with a fixed number of steps, or the closed form.
+
+    All steps run on one block of problems before the next, so that its matrices stay in the processor's cache.
+    """
     c = cov + JITTER * np.eye(cov.shape[1])
     if not long_only:
         x = np.linalg.solve(c, np.ones((*cov.shape[:2], 1)))[..., 0]
         return x / x.sum(axis=1, keepdims=True)
     scaled = c / top_eigenvalue(c, step)[:, None, None]
-    w = np.full(cov.shape[:2], 1 / cov.shape[1])
-    for _ in range(steps):
-        w = simplex_rows(w - (scaled @ w[..., None])[..., 0])
-    return w
+    out = np.full(cov.shape[:2], 1 / cov.shape[1])
+    block = max(1, BLOCK_BYTES // (8 * cov.shape[1] ** 2))
+    for k in range(0, len(c), block):
+        part, w, threshold = scaled[k : k + block], out[k : k + block], np.full(len(c[k : k + block]), -np.inf)
+        for _ in range(steps):
+            w, threshold = simplex_rows_from(w - np.matmul(part, w[..., None])[..., 0], threshold)
+        out[k : k + block] = w
+    return out
+
+
+def optimum(cov: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """(N,) weights of one problem at the exact long-only optimum, by active sets (Lawson and Hanson): the y >= 0 that is least in
+    y' C y / 2 - gain' y, made to sum to one. With gains of 1 that is minimum variance, with excess returns the greatest Sharpe ratio.
+
+    Independent of the iterative kernels, and the reference for them; NaN if no gain is positive.
+    """
+    c = cov + JITTER * np.eye(len(cov))
+    if not (gain > 0).any():
+        return np.full(len(gain), np.nan)
+    y, free = np.zeros(len(gain)), np.zeros(len(gain), bool)
+    scale = np.abs(gain).max()
+    while not free.all():
+        pull = np.where(free, -np.inf, gain - c @ y)
+        if pull.max() <= 1e-12 * scale:
+            break
+        free[np.argmax(pull)] = True
+        while True:
+            z = np.zeros_like(y)
+            z[free] = np.linalg.solve(c[np.ix_(free, free)], gain[free])
+            bad = free & (z <= 0)
+            if not bad.any():
+                break
+            y += (y[bad] / (y[bad] - z[bad])).min() * (z - y)
+            free &= y > 1e-15 * np.abs(y).max()
+            y[~free] = 0
+        y = z
+    return y / y.sum()
 
 
 def max_sharpe(cov: np.ndarray, excess: np.ndarray, long_only: bool = True, steps: int = MAX_SHARPE_STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +178,14 @@ def max_sharpe(cov: np.ndarray, excess: np.ndarray, long_only: bool = True, step
     return w, ok
 
 
-def weights_for(returns: np.ndarray, estimator: str, objective: str, lookback: int, every: int, long_only: bool = True, solver_rf: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def weights_for(
+    returns: np.ndarray, estimator: str | Callable[..., np.ndarray], objective: str, lookback: int, every: int, long_only: bool = True, solver_rf: float = 0.0, lam: float = LAMBDA, step: str = "exact"
+) -> tuple[np.ndarray, np.ndarray]:
     """(K, N) weights of all rebalances of one return matrix, and their feasibility."""
     x = window_stack(returns, lookback, every)
-    cov = ESTIMATORS[estimator](x)
+    cov = (ESTIMATORS[estimator] if isinstance(estimator, str) else estimator)(x, lam=lam)
     if objective == "min_variance":
-        return min_variance(cov, long_only), np.ones(len(cov), bool)
+        return min_variance(cov, long_only, step=step), np.ones(len(cov), bool)
     return max_sharpe(cov, x.mean(axis=1) - solver_rf, long_only)
 
 
@@ -149,6 +222,14 @@ def fixed_blocks(rng: np.random.Generator, n_days: int, block: int, n: int | Non
     return (starts[:, None] + np.arange(block)).ravel()[:n]
 
 
+def arithmetic_blocks(replicate: int, n_days: int, block: int, seed: int = 42) -> np.ndarray:
+    """Row numbers of a fixed-block resample whose draws are arithmetic in the indices, as ``operators.bootstrap.fixed_index`` has them."""
+    if not 1 <= block <= n_days:
+        raise ValueError(f"block_size must be in [1, {n_days}], got {block}")
+    starts = (replicate * 1103515245 + np.arange(-(-n_days // block), dtype=np.int64) * 12345 + seed) % 2147483648 % (n_days - block + 1)
+    return (starts[:, None] + np.arange(block)).ravel()[:n_days]
+
+
 def stationary_blocks(rng: np.random.Generator, n_days: int, mean_block: float, n: int | None = None) -> np.ndarray:
     """Row numbers of a stationary resample: the restart draws come first, then one start a row, used in turn."""
     n = n_days if n is None else n

@@ -9,24 +9,20 @@ from pyspark.sql.window import Window
 MAX_MISSING = 0.05
 
 
-def _grid(prices: DataFrame) -> DataFrame:
-    """Every date with every asset; price is null where the panel has none. Both sides of the product are distinct key lists."""
-    cells = prices.select("dt").distinct().crossJoin(prices.select("asset").distinct())
-    return cells.join(prices, ["dt", "asset"], "left")
-
-
 def missing_fraction(prices: DataFrame) -> DataFrame:
-    """asset, missing_frac."""
-    return _grid(prices).groupBy("asset").agg(F.avg(F.when(F.col("price").isNull(), 1.0).otherwise(0.0)).alias("missing_frac"))
+    """asset, missing_frac: the share of all dates at which an asset has no price."""
+    dates = prices.agg(F.count_distinct("dt").alias("_dates"))
+    held = prices.groupBy("asset").agg(F.count("price").alias("_held"))
+    return held.crossJoin(F.broadcast(dates)).select("asset", (1 - F.col("_held") / F.col("_dates")).alias("missing_frac"))  # one row
 
 
 def clean_prices(prices: DataFrame, max_missing: float = MAX_MISSING) -> DataFrame:
     """Drop assets that miss more than ``max_missing`` of the dates, fill forward, drop dates that still have gaps."""
-    grid = _grid(prices)
-    whole = missing_fraction(prices).where(F.col("missing_frac") <= max_missing)
-    kept = grid.join(whole.select("asset"), "asset", "left_semi")
+    whole = missing_fraction(prices).where(F.col("missing_frac") <= max_missing).select("asset")
+    # Every date with every asset that stays: both sides are distinct key lists.
+    grid = prices.select("dt").distinct().crossJoin(whole).join(prices, ["dt", "asset"], "left")
     past = Window.partitionBy("asset").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    filled = kept.withColumn("price", F.last("price", ignorenulls=True).over(past))
+    filled = grid.withColumn("price", F.last("price", ignorenulls=True).over(past))
     gaps = filled.groupBy("dt").agg(F.max(F.when(F.col("price").isNull(), 1).otherwise(0)).alias("gap")).where("gap = 0")
     return filled.join(gaps.select("dt"), "dt", "left_semi").select("dt", "asset", "price")
 

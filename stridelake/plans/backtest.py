@@ -7,18 +7,21 @@ Filters on configurations belong on the task table, before the kernel: no predic
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.config import Config, check_workload, config_frame
 from ..operators.metrics import METRICS, summarise, undefined_to_null
+from ..sources.panels import stored
 
 #: Most bytes of a return matrix that is sent to every executor.
 MOST_MATRIX_BYTES = 512 * 1024 * 1024
@@ -35,17 +38,19 @@ class Workload:
 
 
 def return_matrix(returns: DataFrame) -> np.ndarray:
-    """Days x assets from indexed returns (t, asset_idx, r); the driver checks the size before it gets any row."""
-    days, assets = returns.agg(F.max("t") + 1, F.max("asset_idx") + 1).first()
+    """Days x assets from indexed returns (t, asset_idx, r); the driver checks the size before it gets any row, and gets one
+    array a day. A larger panel is solved from windows that stay distributed: ``operators.rolling`` and ``solve_stack``."""
+    days, assets, cells = returns.agg(F.max("t") + 1, F.max("asset_idx") + 1, F.count("r")).first()
     if days is None:
         return np.zeros((0, 0))
     if days * assets * 8 > MOST_MATRIX_BYTES:
         raise ValueError(f"a return matrix of {days} x {assets} is too large to send to every executor")
-    rows = returns.select("t", "asset_idx", "r").toPandas()
-    out = np.full((days, assets), np.nan)
-    out[rows["t"], rows["asset_idx"]] = rows["r"]
-    if np.isnan(out).any():
+    if cells != days * assets:
         raise ValueError("the panel has gaps; clean_prices() fills or drops them")
+    rows = returns.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("asset_idx", "r"))).alias("x")).select("t", F.transform("x", lambda x: x["r"]).alias("r")).toArrow()
+    lists = rows.column("r").combine_chunks()
+    out = np.empty((days, assets))
+    out[rows.column("t").to_numpy()] = lists.values.to_numpy().reshape(days, assets)
     return out
 
 
@@ -62,16 +67,27 @@ def _dealt(spark: SparkSession, rows: DataFrame, n: int) -> DataFrame:
     return rows.repartitionByRange(max(1, min(n, 3 * spark.sparkContext.defaultParallelism)), F.hash("bootstrap_idx", "config_idx"))
 
 
+def _estimators() -> dict:
+    """What is registered here, to travel to the workers by value."""
+    return dict(kernels.ESTIMATORS)
+
+
+def _solve(returns: np.ndarray, row: object, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    return kernels.weights_for(returns, known[row.estimator], row.objective, row.lookback, row.rebalance_every, row.long_only, lam=row.lam, step=row.step)
+
+
 def _sample(returns: np.ndarray, row: object, mode: str, block: float) -> np.ndarray:
     if mode == "none":
         return returns
+    if mode == "arithmetic":
+        return returns[kernels.arithmetic_blocks(row.bootstrap_idx, len(returns), block)]
     draw = kernels.fixed_blocks if mode == "fixed" else kernels.stationary_blocks
     return returns[draw(np.random.default_rng(int(row.sub_seed)), len(returns), block)]
 
 
 def raw_metrics(spark: SparkSession, matrix: np.ndarray, task_rows: DataFrame, n_tasks: int, mode: str = "fixed", block: float = 20, strict: bool = False) -> DataFrame:
     """One row a task with its metrics; a task with an infeasible rebalance has null metrics and says so, or raises if ``strict``."""
-    held = spark.sparkContext.broadcast(matrix)
+    held, known = spark.sparkContext.broadcast(matrix), _estimators()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         returns = held.value
@@ -79,7 +95,7 @@ def raw_metrics(spark: SparkSession, matrix: np.ndarray, task_rows: DataFrame, n
             out = []
             for row in batch.itertuples():
                 sample = _sample(returns, row, mode, block)
-                w, ok = kernels.weights_for(sample, row.estimator, row.objective, row.lookback, row.rebalance_every, row.long_only)
+                w, ok = _solve(sample, row, known)
                 if strict and not ok.all():
                     raise ValueError(f"{row.label}, replicate {row.bootstrap_idx}: no asset has a positive mean excess return")
                 found = kernels.metrics(kernels.held_returns(sample, w, row.lookback, row.rebalance_every) if ok.all() else np.zeros(0), row.rf_annual)
@@ -89,42 +105,51 @@ def raw_metrics(spark: SparkSession, matrix: np.ndarray, task_rows: DataFrame, n
     return undefined_to_null(_dealt(spark, task_rows, n_tasks).mapInPandas(run, RAW_SCHEMA))
 
 
-def bootstrap(spark: SparkSession, returns: DataFrame, configs: list[Config], n_bootstrap: int = 50, block_size: int = 20, seed: int = 0, mode: str = "fixed", indices: list[int] | None = None, strict: bool = False) -> Workload:
-    """The bootstrap workload: every configuration on every resample, and per-configuration summaries."""
+def bootstrap(
+    spark: SparkSession, returns: DataFrame, configs: list[Config], n_bootstrap: int = 50, block_size: int = 20, seed: int = 0, mode: str = "fixed", indices: list[int] | None = None, strict: bool = False, store: str | None = None
+) -> Workload:
+    """The bootstrap workload: every configuration on every resample, and per-configuration summaries.
+
+    ``mode`` is fixed, stationary, arithmetic (draws that any engine can repeat; ``seed`` isn't used) or none. With a ``store`` folder the raw metrics are
+    kept there under a key of the returns and all parameters, and a later call with the same reads them instead of solving again.
+    """
     matrix = return_matrix(returns)
     check_workload(len(matrix), configs, n_bootstrap, block_size)
     rows = tasks(spark, config_frame(spark, configs, indices), n_bootstrap, seed)
-    raw = raw_metrics(spark, matrix, rows, len(configs) * n_bootstrap, mode, block_size, strict)
+
+    def solve() -> DataFrame:
+        return raw_metrics(spark, matrix, rows, len(configs) * n_bootstrap, mode, block_size, strict)
+
+    if store:
+        data = hashlib.sha256(np.ascontiguousarray(matrix).tobytes()).hexdigest()
+        raw = stored(spark, store, solve, data=data, configs=[str(c) for c in configs], n_bootstrap=n_bootstrap, block_size=block_size, seed=seed, mode=mode, indices=indices, strict=strict)
+    else:
+        raw = solve()
     return Workload(raw, summarise(raw, KEYS))
 
 
 def backtest(spark: SparkSession, returns: DataFrame, configs: list[Config], indices: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(weights, daily returns) of every configuration on the panel itself.
+    """(weights, daily returns) of every configuration on the panel itself; both read one solution, which is persisted.
 
     weights: config_idx, rb_seq, t_from, status, w array<double> (null if infeasible); daily: config_idx, t, port_ret.
     """
     matrix = return_matrix(returns)
     check_workload(len(matrix), configs, 1, 1)
-    held = spark.sparkContext.broadcast(matrix)
+    held, known = spark.sparkContext.broadcast(matrix), _estimators()
     rows = _dealt(spark, config_frame(spark, configs, indices).withColumn("bootstrap_idx", F.lit(0)), len(configs))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                w, ok = kernels.weights_for(held.value, row.estimator, row.objective, row.lookback, row.rebalance_every, row.long_only)
-                days = kernels.rebalance_days(len(held.value), row.lookback, row.rebalance_every)
-                yield pd.DataFrame({"config_idx": row.config_idx, "rb_seq": range(len(days)), "t_from": days, "status": np.where(ok, "ok", "infeasible"), "w": [x if good else None for x, good in zip(w, ok)]})
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                w, _ = kernels.weights_for(held.value, row.estimator, row.objective, row.lookback, row.rebalance_every, row.long_only)
+                w, ok = _solve(held.value, row, known)
                 r = kernels.held_returns(held.value, w, row.lookback, row.rebalance_every)
-                yield pd.DataFrame({"config_idx": row.config_idx, "t": np.arange(row.lookback, len(held.value)), "port_ret": r})
+                days = kernels.rebalance_days(len(held.value), row.lookback, row.rebalance_every)
+                spans = [r[a - row.lookback : a - row.lookback + row.rebalance_every] for a in days]
+                yield pd.DataFrame({"config_idx": row.config_idx, "rb_seq": range(len(days)), "t_from": days, "status": np.where(ok, "ok", "infeasible"), "w": [x if good else None for x, good in zip(w, ok)], "r": spans})
 
-    weights = rows.mapInPandas(solve, "config_idx int, rb_seq int, t_from int, status string, w array<double>")
-    daily = rows.mapInPandas(follow, "config_idx int, t int, port_ret double")
-    return weights, daily.withColumn("port_ret", F.when(~F.isnan("port_ret"), F.col("port_ret")))
+    solved = rows.mapInPandas(solve, "config_idx int, rb_seq int, t_from int, status string, w array<double>, r array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    daily = solved.select("config_idx", "t_from", F.posexplode("r").alias("k", "port_ret")).select("config_idx", (F.col("t_from") + F.col("k")).alias("t"), F.when(~F.isnan("port_ret"), F.col("port_ret")).alias("port_ret"))
+    return solved.drop("r"), daily
 
 
 def solve_stack(problems: DataFrame, objective: str = "min_variance", long_only: bool = True, steps: int | None = None) -> DataFrame:
@@ -135,7 +160,10 @@ def solve_stack(problems: DataFrame, objective: str = "min_variance", long_only:
         for batch in batches:
             for n, part in batch.groupby("n"):
                 cov = np.stack(part["cov"].to_numpy()).reshape(-1, n, n)
-                if objective == "min_variance":
+                if objective == "optimum":  # with gains in mu: all 1 for minimum variance
+                    w = np.stack([kernels.optimum(c, np.asarray(g, float)) for c, g in zip(cov, part["mu"])])
+                    ok = ~np.isnan(w).any(axis=1)
+                elif objective == "min_variance":
                     w, ok = kernels.min_variance(cov, long_only, steps or kernels.MIN_VARIANCE_STEPS), np.ones(len(cov), bool)
                 else:
                     w, ok = kernels.max_sharpe(cov, np.stack(part["mu"].to_numpy()), long_only, steps or kernels.MAX_SHARPE_STEPS)
@@ -147,7 +175,7 @@ def solve_stack(problems: DataFrame, objective: str = "min_variance", long_only:
 def eigen_diagnostics(spark: SparkSession, returns: DataFrame, estimator: str = "sample", lookback: int = 63, every: int = 21) -> DataFrame:
     """key (rebalance number), min_eig, max_eig, power_eig, cond of the window covariances."""
     matrix = return_matrix(returns)
-    held = spark.sparkContext.broadcast(matrix)
+    held, known = spark.sparkContext.broadcast(matrix), _estimators()
     n = len(kernels.rebalance_days(len(matrix), lookback, every))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +183,7 @@ def eigen_diagnostics(spark: SparkSession, returns: DataFrame, estimator: str =
             if len(batch):
                 keys = batch["key"].to_numpy()
                 x = np.stack([held.value[lookback + k * every - lookback : lookback + k * every] for k in keys])
-                cov = kernels.ESTIMATORS[estimator](x)
+                cov = known[estimator](x)
                 low, high, cond = kernels.eigen_range(cov)
                 yield pd.DataFrame({"key": keys, "min_eig": low, "max_eig": high, "power_eig": kernels.top_eigenvalue(cov, "power"), "cond": cond})
 
@@ -165,14 +193,14 @@ def eigen_diagnostics(spark: SparkSession, returns: DataFrame, estimator: str =
 def frank_wolfe_trace(spark: SparkSession, returns: DataFrame, estimator: str = "sample", lookback: int = 63, every: int = 21, steps: int = 20) -> DataFrame:
     """rb_seq, k, best, vol, ret, grad_max of the first solver steps at each rebalance."""
     matrix = return_matrix(returns)
-    held = spark.sparkContext.broadcast(matrix)
+    held, known = spark.sparkContext.broadcast(matrix), _estimators()
     n = len(kernels.rebalance_days(len(matrix), lookback, every))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in batch["rb_seq"]:
                 x = held.value[k * every : k * every + lookback]
-                rows = kernels.frank_wolfe_trace(kernels.ESTIMATORS[estimator](x[None])[0], x.mean(axis=0), steps)
+                rows = kernels.frank_wolfe_trace(known[estimator](x[None])[0], x.mean(axis=0), steps)
                 yield pd.DataFrame([(k, *r) for r in rows], columns=["rb_seq", "k", "best", "vol", "ret", "grad_max"])
 
     return spark.range(n).select(F.col("id").cast("int").alias("rb_seq")).mapInPandas(run, "rb_seq int, k int, best int, vol double, ret double, grad_max double")

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from ..operators import metrics as mt
 from ..operators import panel as pn
 from ..operators import portfolio as pf
 from ..operators import rolling as ro
+from ..session import shared_folder
 from ..sources.panels import LINEITEM_PANELS, price_panel
 from . import backtest as bt
 
@@ -42,13 +42,21 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
 
+def _fixed_table(df: DataFrame) -> DataFrame:
+    """Checkpointed in the shared folder: computed once however many branches of a query read it, and removed with its last reference."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def prices(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataFrame:
-    return price_panel(spark, sf_dir, panel)
+    return _fixed_table(price_panel(spark, sf_dir, panel))
 
 
 def returns(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataFrame:
-    """The indexed returns; kept in memory (or on disk), as a query's branches share them and scans are dear."""
-    return pn.indexed(pn.log_returns(pn.clean_prices(prices(spark, sf_dir, panel)))).persist(StorageLevel.MEMORY_AND_DISK)
+    """The indexed returns of a panel; a panel that the cleaning empties gives none."""
+    return _fixed_table(pn.indexed(pn.log_returns(pn.clean_prices(prices(spark, sf_dir, panel)))))
 
 
 # --- SQL fragments -------------------------------------------------------------------------------------------
@@ -145,7 +153,7 @@ _GRID_SQL = """
     e(estimator, a) as (values ('sample', 0), ('ledoit_wolf', 1), ('ewma', 2)), o(objective, b) as (values ('min_variance', 0), ('max_sharpe', 1)),
     l(lookback, c) as (values ({0}, 0), ({1}, 1), ({2}, 2)), q(rebalance_every, d) as (values ({3}, 0), ({4}, 1), ({5}, 2)),
     configs as (select cast(((a * 2 + b) * 3 + c) * 3 + d as int) as config_idx, estimator, objective, cast(lookback as int) as lookback, cast(rebalance_every as int) as rebalance_every,
-        true as long_only, cast(0.0 as double) as rf_annual, estimator || '|' || objective || '|lb=' || lookback || '|rb=' || rebalance_every as label from e, o, l, q)"""
+        true as long_only, cast(0.0 as double) as rf_annual, cast(0.94 as double) as lam, 'exact' as step, estimator || '|' || objective || '|lb=' || lookback || '|rb=' || rebalance_every as label from e, o, l, q)"""
 _CONFIGS = _GRID_SQL.format(63, 252, 504, 5, 21, 63)
 _SMALL = _GRID_SQL.format(*GRID["lookbacks"], *GRID["rebalances"])
 
@@ -551,72 +559,6 @@ def top_bottom_sharpe(spark, sf_dir):
     return rounded(mt.top_and_bottom(raw).select("label", "sharpe", "side"))
 
 
-# --- kernels: no SQL twin, held against NumPy and optimality conditions in the tests --------------------------
-
-
-def _min_variance_configs():
-    return [(i, c) for i, c in enumerate(grid(**GRID)) if c.objective == "min_variance"]
-
-
-def _fitting(spark, sf_dir, panel="brand_week"):
-    """Indexed returns, from the panel that has assets left after cleaning."""
-    r = returns(spark, sf_dir, panel)
-    return r if r.head(1) else returns(spark, sf_dir, "event_day")
-
-
-@_query("backtest_min_variance")
-def backtest_min_variance(spark, sf_dir):
-    configs = [Config(e, "min_variance", 21, 5) for e in ("sample", "ledoit_wolf", "ewma")]
-    return bt.backtest(spark, _fitting(spark, sf_dir), configs)[1]
-
-
-@_query("backtest_max_sharpe")
-def backtest_max_sharpe(spark, sf_dir):
-    return bt.backtest(spark, _fitting(spark, sf_dir), [Config("ledoit_wolf", "max_sharpe", 21, 5)])[1]
-
-
-@_query("backtest_weights")
-def backtest_weights(spark, sf_dir):
-    return bt.backtest(spark, _fitting(spark, sf_dir), [Config("sample", "min_variance", 21, 5), Config("sample", "max_sharpe", 21, 5)])[0]
-
-
-@_query("backtest_long_short")
-def backtest_long_short(spark, sf_dir):
-    return bt.backtest(spark, _fitting(spark, sf_dir), [Config("ledoit_wolf", o, 21, 5, long_only=False) for o in ("min_variance", "max_sharpe")])[1]
-
-
-@_query("bootstrap_backtest")
-def bootstrap_backtest(spark, sf_dir):
-    configs = [Config("sample", "min_variance", 21, 5), Config("ledoit_wolf", "min_variance", 21, 5), Config("ledoit_wolf", "max_sharpe", 21, 5)]
-    return bt.bootstrap(spark, _fitting(spark, sf_dir), configs, n_bootstrap=5).raw_metrics
-
-
-@_query("bootstrap_backtest_summary")
-def bootstrap_backtest_summary(spark, sf_dir):
-    indices, configs = zip(*[(i, c) for i, c in _min_variance_configs() if c.lookback == 21])
-    return bt.bootstrap(spark, _fitting(spark, sf_dir), list(configs), n_bootstrap=5, mode="stationary", indices=list(indices)).metrics_per_config
-
-
-@_query("batch_solve")
-def batch_solve(spark, sf_dir):
-    r = _fitting(spark, sf_dir)
-    window = ro.windows(r, 21, 5)
-    cov = pf.mirrored(ro.cov_sample(window)).groupBy("rb_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "cov"))), lambda x: x["cov"]).alias("cov"))
-    mu = ro.means(window).groupBy("rb_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset_idx", "mu"))), lambda x: x["mu"]).alias("mu"))
-    problems = cov.join(mu, "rb_seq").select(F.col("rb_seq").alias("key"), F.size("mu").alias("n"), "cov", "mu")
-    return bt.solve_stack(problems)
-
-
-@_query("eigen_diagnostics")
-def eigen_diagnostics(spark, sf_dir):
-    return bt.eigen_diagnostics(spark, _fitting(spark, sf_dir), "sample", 21, 5)
-
-
-@_query("frank_wolfe_trace")
-def frank_wolfe_trace(spark, sf_dir):
-    return bt.frank_wolfe_trace(spark, _fitting(spark, sf_dir), "sample", 21, 21)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two configurations, five resamples of the daily event panel."""
     configs = [Config("ledoit_wolf", "min_variance", 10, 5), Config("ledoit_wolf", "max_sharpe", 10, 5)]

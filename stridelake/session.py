@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +19,19 @@ ENGINE_CONF = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; only a session in one process may fall back to a local one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="stridelake-")
+        atexit.register(shutil.rmtree, folder, True)
+        base = f"file://{folder}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def build_session(app: str = "stridelake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` (dots written as ``__``) overrides them."""
     builder = SparkSession.builder.appName(app).config(map=ENGINE_CONF)

@@ -67,3 +67,19 @@ def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def gaussian_returns(spark: SparkSession, days: int, assets: int, scale: float = 0.01, seed: int = 42) -> DataFrame:
     """Synthetic normal returns (t, asset_idx, r)."""
     return spark.range(days * assets).select((F.col("id") / assets).cast("int").alias("t"), (F.col("id") % assets).cast("int").alias("asset_idx"), (F.randn(seed) * scale).alias("r"))
+
+
+def arithmetic_returns(spark: SparkSession, days: int, assets: int, scale: float = 0.01, seed: int = 42) -> DataFrame:
+    """Synthetic normal returns (t, asset_idx, r) whose draws are arithmetic in the row number (Box and Muller), so that any engine can repeat them."""
+    draw = lambda step: f"((id * 1103515245 + 12345 * {step} + {seed}) % 2147483648 + 0.5D) / 2147483648D"
+    normal = F.expr(f"{scale}D * sqrt(-2 * ln({draw(1)})) * cos(2 * pi() * {draw(7919)})")
+    return spark.range(days * assets).select((F.col("id") / assets).cast("int").alias("t"), (F.col("id") % assets).cast("int").alias("asset_idx"), normal.alias("r"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small table as JSON lines, one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
