@@ -208,16 +208,19 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.avg(F.col(label_col)).alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    rows = docs.join(F.broadcast(known), "doc_id").select("_label", "_text")
+    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "_label", "_text")
 
     def describe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            texts, at = _texts(batch.column(1)), 0
+            texts = _texts(batch.column(2))
             for i, j in batches(texts):
                 x = features(texts[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["label", "x"])
+                wide = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), wide], names=["doc_id", "label", "x"])
 
-    got = rows.mapInArrow(describe, "label double, x array<double>").toPandas()
+    # One row an identifier, however many documents repeat it: the driver gets at most ``max_rows``.
+    described = rows.mapInArrow(describe, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label double, x array<double>")
+    got = described.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("x").alias("x")).toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     order = np.lexsort(x.T) if len(x) else slice(None)  # the same model whatever the order of rows
     return fit(x[order], got["label"].to_numpy(float)[order], **options)

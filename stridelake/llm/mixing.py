@@ -18,9 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import WORD, Workspace, ranked
+from .shared import WORD, Workspace, numbered, ranked
 
 #: Cells that one row is expanded to at a time.
 CHUNK = 65536
@@ -30,7 +29,7 @@ FEW_SOURCES = 100_000
 
 @dataclass(frozen=True)
 class Mix:
-    """``sources``: _key, source_size, target. ``stream``: doc_id, size, _key, _text, _mixed, rank, start.
+    """``sources``: _key, nth, source_size, target. ``stream``: doc_id, size, _key, _text, _mixed, rank, start.
     ``slots``: _key, slot, block, epoch, words, position (the place in the mix, ascending)."""
 
     work: Workspace
@@ -55,40 +54,39 @@ def _shuffled(seed: int) -> Column:
     return F.xxhash64("doc_id", F.lit(seed))
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
-    """_key, source_size and target of each source. ``weights`` repeat over the sources in order of code point.
+def source_targets(work: Workspace, sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """_key, nth, source_size and target of each source. ``weights`` repeat over the sources in order of code point.
 
-    Weighted water-filling: the level at which min(most * size, level * weight) sums to the wanted words,
-    which is what resharing the excess by weight, again and again, ends at.
+    The words wanted are shared by weight; sources above ``most`` times their size get that, and the excess is shared by weight
+    among the rest, until none is above. A round is one sum over the sources, of which there may be many.
     """
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    per_source = sizes.groupBy("_key").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    numbered = per_source.withColumn("_nth", F.row_number().over(Window.orderBy("_key")) - 1).withColumn("_weight", F.element_at(cycle, (F.col("_nth") % len(weights) + 1).cast("int")))
-    room = numbered.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    by_ratio = Window.orderBy("_ratio", "_nth")
-    filled = (
-        room.withColumn("_want", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("_full", F.coalesce(F.sum("_cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_rest", F.sum("_weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_want") - F.col("_full")) / F.col("_rest"))
-    )
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_nth", "_level"))).over(everything)["_level"]
-    return filled.withColumn("_at", level).select("_key", "source_size", F.least("_cap", F.coalesce(F.col("_at") * F.col("_weight"), F.col("_cap"))).alias("target"))
+    per_source = numbered(work, sizes.groupBy("_key").agg(F.sum("size").alias("source_size")), ["_key"], "numbered")
+    weighed = per_source.withColumn("_weight", F.element_at(cycle, (F.col("nth") % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
+    weighed = work.put(weighed, "weighed")
+    total, n = weighed.agg(F.sum("source_size"), F.count(F.lit(1))).first()
+    want, level, full = (total or 0) * float(share), 0.0, -1
+    while n:
+        above = F.col("_cap") < F.lit(level) * F.col("_weight")
+        held, rest, now = weighed.agg(F.coalesce(F.sum(F.when(above, F.col("_cap"))), F.lit(0.0)), F.sum(F.when(~above, F.col("_weight"))), F.sum(above.cast("int"))).first()
+        if now == full or not rest:
+            break
+        full, level = now, (want - held) / rest
+    return weighed.select("_key", "nth", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_weight")).alias("target"))
 
 
 def schedule(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """The schedule of a mix of ``share`` times all words, with no source beyond ``most`` times its size."""
     work = Workspace(df.sparkSession, "mix")
     sizes = work.put(df.select(F.col(id_col).alias("doc_id"), *_measured(text_col, source_col)), "sizes")
-    sources = work.put(source_targets(sizes, weights, share, most).withColumn("_goal", F.round("target").cast("long")), "sources")
+    sources = work.put(source_targets(work, sizes, weights, share, most).withColumn("_goal", F.round("target").cast("long")), "sources")
     shuffled = sizes.withColumn("_mixed", _shuffled(seed))
     stream = work.put(ranked(shuffled, ["_key"], F.col("_mixed"), [F.col("doc_id"), F.col("_text"), F.col("size")], amount="size"), "stream")
 
     per_epoch = F.ceil(F.col("source_size") / block_words)
     full = F.floor(F.col("_goal") / F.col("source_size"))
     n_slots = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(full * per_epoch + F.ceil((F.col("_goal") - full * F.col("source_size")) / block_words)).cast("long")
-    line = sources.withColumn("_slots", n_slots).withColumn("_cell0", F.sum("_slots").over(Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_slots"))
+    line = ranked(sources.withColumn("_slots", n_slots), [], F.shiftleft("nth", 62 - max(1, sources.count().bit_length())), amount="_slots", start="_cell0").drop("rank")
     total = sources.select(F.sum(n_slots)).first()[0] or 0
     bits = max(1, (max(1, total) - 1).bit_length())
     chunks = line.where("_slots > 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})"))).repartition("_key", "_chunk")

@@ -162,6 +162,17 @@ def ranked(df: DataFrame, group: Sequence[str], order: Column, ties: Sequence[Co
     return out.drop("_order", "_bucket", "_rn", "_run", "_rank0", "_sum0")
 
 
+def numbered(work: Workspace, df: DataFrame, order: Sequence[str], name: str, number: str = "nth") -> DataFrame:
+    """``df`` with 0-based numbers in ``order``, by a range-partitioned sort: no task sees all rows, and the driver one count a partition."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = work.put(sorted_.withColumn("_at", F.monotonically_increasing_id()), name)  # written: the places are fixed from here on
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return parts.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(number, here).drop("_at", "_part", "_before")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

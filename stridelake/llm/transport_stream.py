@@ -246,9 +246,10 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def probe(df: DataFrame) -> DataFrame:
-    """What the stored streams hold: the input's doc_id and n_bytes, and digests and features of what was read back."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """What the stored streams hold: the input's doc_id and n_bytes, digests and features of what was read back, the units'
+    timestamps (ticks) and the byte offsets of the random-access points."""
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "ticks", "access_offsets"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -256,11 +257,11 @@ def probe(df: DataFrame) -> DataFrame:
             for value in batch.column(2):
                 media = value.as_py()
                 got = demux(media)
-                rows.append((len(got.samples), hashlib.sha256(got.samples).hexdigest(), zlib.crc32(got.samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(got)))
+                rows.append((len(got.samples), hashlib.sha256(got.samples).hexdigest(), zlib.crc32(got.samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(got), [u[0] for u in got.units], [u[1] for u in got.units if u[3]]))
             found = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["doc_id", "n_bytes", *names])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(read, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, ticks array<long>, access_offsets array<long>")
 
 
 def access_points(df: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +38,13 @@ def payload_digest(payload: bytes) -> str:
 
 
 def record_urn(page_id: object) -> str:
-    return f"urn:page:{page_id}"
+    """A page's record identifier; white space, control and other special signs of string identifiers are percent-encoded."""
+    return "urn:nopage" if page_id is None else f"urn:page:{quote(str(page_id), safe='')}"
+
+
+def page_of(urn: str) -> str | None:
+    """The identifier that record_urn() was given, as a string."""
+    return None if urn == "urn:nopage" else unquote(urn.removeprefix("urn:page:"))
 
 
 def _safe(uri: str) -> str:
@@ -222,7 +229,7 @@ def read_bundles(bundles: DataFrame, with_payload: bool = False) -> DataFrame:
                         said = fields["warc-payload-digest"].removeprefix("sha1:")
                         if fields["warc-type"] == "response" and payload_digest(payload) != said:
                             raise ValueError(f"the payload of {fields['warc-record-id']} is damaged")
-                        bare = [fields[k].strip("<>").removeprefix("urn:page:") if k in fields else None for k in ("warc-record-id", "warc-refers-to")]
+                        bare = [page_of(fields[k].strip("<>")) if k in fields else None for k in ("warc-record-id", "warc-refers-to")]
                         row = (bare[0], fields["warc-target-uri"], fields["warc-type"], bare[1], said, int(fields["x-payload-length"]))
                         rows.append((*row, payload) if with_payload else row)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -238,7 +245,7 @@ def record_index(bundles: DataFrame) -> DataFrame:
             for value in batch.column(0):
                 data = value.as_py()
                 bundle, name = BundleReader(data), hashlib.sha256(data).hexdigest()
-                rows = [(name, urn.removeprefix("urn:page:"), frame, *bundle.frames[frame][:2], offset, length) for urn, frame, offset, length in bundle.index()]
+                rows = [(name, page_of(urn), frame, *bundle.frames[frame][:2], offset, length) for urn, frame, offset, length in bundle.index()]
                 kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bundle", "page_id", "frame", "frame_offset", "frame_bytes", "record_offset", "record_bytes"])
 
@@ -250,5 +257,4 @@ def archive_and_read(df: DataFrame, id_col: str = "page_id", url_col: str = "url
     work = Workspace(df.sparkSession, "warc")
     kind = df.schema[id_col].dataType.simpleString()
     rows = read_bundles(write_bundles(work, df, id_col, url_col, html_col, revisit_bytes))
-    back = lambda c: F.when(F.col(c) == "None", None).otherwise(F.col(c)).cast(kind)
-    return work.finish(rows.select(back("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", back("refers_to").alias("refers_to")))
+    return work.finish(rows.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))

@@ -362,6 +362,7 @@ def test_transport_stream(docs, empty):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert "cc=0;damaged=0" in r.feature and r.media_bytes % 188 == 0
+    assert got[7].ticks == [transport_stream.unit_ticks(k) for k in range(len(got[7].ticks))] and len(got[7].access_offsets) == 2 and got[7].access_offsets[0] % 188 == 0
     assert got[8].media_sha256 == got[10].media_sha256 and got[8].feature == got[10].feature
     assert transport_stream.store_and_probe(empty).count() == 0
     points = transport_stream.access_points(transport_stream.store_texts(docs.where("doc_id = 7"))).where("random_access").collect()
@@ -410,6 +411,18 @@ def test_warc(spark):
         warc_bundle.BundleReader(bytes(holed)).frame(0)
 
 
+def test_warc_identifiers_of_any_kind(spark):
+    ids = ["None", None, "a\tb\nc", "", "é <x>", "urn:page:1", "100%", None]
+    pages = spark.createDataFrame([(x, "u", f"<p>{k}</p>") for k, x in enumerate(ids)] + [(None, "u", "<p>0</p>")], "page_id string, url string, html string")
+    got = warc_bundle.archive_and_read(pages).collect()
+    assert Counter(r.page_id for r in got) == Counter([*ids, None])
+    assert [r.refers_to for r in got if r.record_type == "revisit"] == ["None"]
+    index = warc_bundle.record_index(warc_bundle.write_bundles(Workspace(spark, "t"), pages)).collect()
+    assert Counter(r.page_id for r in index) == Counter([*ids, None])
+    numbered = spark.createDataFrame([(None, "u", "x"), (2, "u", "x"), (None, "u", None)], "page_id long, url string, html string")
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc_bundle.archive_and_read(numbered).collect()) == Counter([(2, "response", None), (None, "revisit", 2), (None, "response", None)])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page"><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice">We use cookies, as all do.</div><div id="content"><h1>Head &amp line</h1>
 <p>First   paragraph, with a <b>bold</b> word; and more of it.<script>if (a<b) "</p>"</script><p>Second&nbsp;one<br>goes on, for a while, and ends here.
@@ -478,7 +491,7 @@ def test_deep_pages_are_read_in_linear_time():
     assert time.process_time() - begun < 8
 
 
-def test_classifier(spark, docs, empty):
+def test_classifier(spark, docs, empty, monkeypatch):
     rng = random.Random(5)
     good = [(i, words(rng, 80).capitalize() + ".") for i in range(300)]
     bad = [(1000 + i, " | ".join(rng.choice(["BUY", "NOW", "$$$"]) for _ in range(80))) for i in range(100)]
@@ -497,6 +510,11 @@ def test_classifier(spark, docs, empty):
     unlabelled = gam.classify(docs, labels.limit(0)).toPandas()
     assert (unlabelled.score == 0.5).all() and len(unlabelled) == len(corpus())
     assert gam.classify(empty, labels).count() == 0
+    again = spark.createDataFrame([(1, f"One of {k} rows of the same identifier.") for k in range(50)] + good + bad, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(gam, "fit", lambda x, y, whole=gam.fit, **options: seen.append(len(x)) or whole(x, y, **options))
+    gam.train(again, labels, max_rows=30, rounds=2)
+    assert 25 <= seen[0] <= 30
 
 
 def test_additive_model_learns_a_pair():

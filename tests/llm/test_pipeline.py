@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from test_llm import lower, shingles
+from test_llm import CLASH, WORD, corpus, lower, shingles
 
 SMALL = Path("/root/testdata/sf0.001")
 
@@ -42,3 +43,55 @@ def test_stages(spark):
     packed = held["packing"].toPandas()
     assert Counter(packed[packed.piece == 0].doc_id) == times
     assert (packed.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Nulls, empty and long texts, repeated rows and identifiers, columns with clashing names; labels that know none of these."""
+    folder = tmp_path_factory.mktemp("odd")
+    plain = spark.createDataFrame(corpus() + [(1, "one text of several words under an identifier", "a", "en"), (1, "another text that has the same identifier as it", "b", "en")], "doc_id long, text string, source string, lang string")
+    plain.withColumns({c: F.lit("clash") for c in CLASH}).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(10**6, 1, 0), (None, 0, 0), (10**6 + 1, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    columns, texts = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, odd).persist()
+        if name != "packing":
+            assert docs.columns == columns and docs.where("rank != 'clash' or _row != 'clash'").count() == 0
+            texts.append([(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()])
+    good, exact, near, mixed = texts
+    assert len(good) == len(corpus()) + 2  # nothing is known, so nothing is rejected
+    assert Counter(lower(t) for _, t, _ in exact) == Counter({lower(t) for _, t, _ in good})
+    sets = [shingles(t) for _, t, _ in near]
+    assert not any(a and b and 100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert all(s or not WORD.search(t or "") for s, (_, t, _) in zip(sets, near)) and len([t for _, t, _ in near if not WORD.search(t or "")]) == len([t for _, t, _ in exact if not WORD.search(t or "")])
+    kept = Counter(near)
+    assert set(mixed) <= set(kept) and all(n <= 2 * kept[r] for r, n in Counter(mixed).items())
+    packed = docs.toPandas()
+    assert (packed.piece == 0).sum() == len(mixed) and (packed.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_stages_on_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, odd)
+        assert docs.count() == 0
+
+
+def test_run_equals_its_stages(spark, odd):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.run(spark, odd)
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, odd)
+    places = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, rows.select(*places).collect())) == Counter(map(tuple, docs.select(*places).collect()))
