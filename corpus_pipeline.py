@@ -2,6 +2,10 @@
 
 quality classifier -> exact dedup -> n-gram Jaccard join -> mixing sources to target weights -> best-fit packing.
 All stages but the last return the columns of documents.
+
+Every stage gives the result that its operator defines: a null text is empty; an empty text passes the first stage if the
+classifier lets it, is one text in exact dedup, links with nothing, and is taken once by the mix; rows that repeat an identifier are told apart by
+their texts and sources; an empty table gives an empty one; columns of any names are carried along and not read.
 """
 
 from __future__ import annotations
