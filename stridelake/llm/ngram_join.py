@@ -160,7 +160,8 @@ def families(work: Workspace, sets: DataFrame, posted: DataFrame) -> DataFrame:
     common it joins the centre's family. A centre stays in its own unless the other has more followers.
     """
     centre = posted.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct((F.col("shared") / F.col("n")).alias("q"), "n", "s", "l")).alias("c")).where("m > 1").select("t", F.col("c.s").alias("v"), F.col("c.n").alias("nv"), F.col("c.l").alias("lv"))
-    near = posted.join(centre, "t").where("s != v").where(_enough("least(n, nv)", "n", "nv"))
+    # Written first: a join of two written tables may be split where a shingle is hot, one that shares an aggregation's shuffle may not.
+    near = posted.join(work.put(centre, "centres"), "t").where("s != v").where(_enough("least(n, nv)", "n", "nv"))
     votes = work.put(near.groupBy("s", "v").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("l", "lv")).alias("least")).where("k >= least"), "votes")
     fame = votes.groupBy("v").agg(F.sum("k").alias("fame"), F.count(F.lit(1)).alias("m"))
     best = votes.join(fame, "v").groupBy("s").agg(F.max(F.struct("fame", "v")).alias("c")).select(F.col("s").alias("u"), F.col("c.v").alias("v"))
@@ -295,7 +296,7 @@ def between(work: Workspace, posted: DataFrame, family: DataFrame) -> DataFrame:
     """
     rows = posted.join(family.select("s", "h"), "s", "left").withColumn("h", F.coalesce("h", "s"))
     top = rows.groupBy("t", "h").agg(F.count(F.lit(1)).alias("m")).groupBy("t").agg(F.max(F.struct("m", "h")).alias("x"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("t", F.col("x.h").alias("top"))
-    lists = work.put(rows.join(top, "t"), "lists")
+    lists = work.put(rows.join(work.put(top, "top"), "t"), "lists")
     base = lambda x: f"({x}n - {_least_overlap(x + 'n')})"
     l = "least(a.l, b.l)"  # noqa: E741
     met = f"a.t = b.t and a.h != b.h and (b.h = b.top or a.s < b.s) and a.pos < {base('a.')} + {l} and b.pos < {base('b.')} + {l} and {_enough('least(a.shared, b.shared)', 'a.n', 'b.n')}"

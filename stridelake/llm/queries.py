@@ -55,7 +55,19 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport_stream.store_and_probe(table(spark, sf_dir, "documents"))
 
 
-@_query("op2_warc_bundle")
+@_query(
+    "op2_warc_bundle",
+    """
+    with p as (select page_id, coalesce(html, '') as payload from pages),
+    d as (select *, sha1(payload) as hex, min(page_id) over (partition by payload) as first from p),
+    b as (select *, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(instr('0123456789abcdef', c) - 1), 4, '0')), '') as bits from d)
+    select page_id, cast(strlen(payload) as bigint) as payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            cast(1 + list_sum(list_transform(range(5), lambda j: case when substr(bits, i * 5 + j + 1, 1) = '1' then 1 << (4 - j) else 0 end)) as int), 1)), '') as payload_digest,
+        case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id != first then first end as refers_to
+    from b
+    """,
+)
 def op2_warc_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_bundle.archive_and_read(table(spark, sf_dir, "pages"))
 
@@ -70,7 +82,23 @@ def op8_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@_query("op1_ngram_join")
+@_query(
+    "op1_ngram_join",
+    rf"""
+    with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') as ws from documents),
+    sh as materialized (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as s from w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as g(i) where len(ws) > 0),
+    n as materialized (select doc_id, count(*) as n from sh group by 1),
+    often as (select s from sh group by s having count(*) > 1),
+    few as materialized (select * from sh where s in (select s from often)),
+    pairs as (select a.doc_id as u, b.doc_id as v, count(*) as common from few a join few b on a.s = b.s and a.doc_id != b.doc_id group by 1, 2),
+    links as materialized (select u, v, common = x.n and common = y.n as same from pairs join n x on x.doc_id = u join n y on y.doc_id = v where 100 * common >= 80 * (x.n + y.n - common)),
+    reach as (select u, v from links union select r.u, l.v from reach r join links l on l.u = r.v),
+    c as (select u, least(u, min(v)) as component_id from reach group by u),
+    k as (select u, count(*) as n_links, least(u, min(v) filter (where same)) as class_id from links group by u)
+    select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(component_id, w.doc_id) as component_id, coalesce(class_id, w.doc_id) as class_id, cast(coalesce(n_links, 0) as bigint) as n_links
+    from w left join n on n.doc_id = w.doc_id left join c on c.u = w.doc_id left join k on k.u = w.doc_id
+    """,
+)
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_classes(table(spark, sf_dir, "documents"), links=True)
 
