@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 
-def _stars(pairs: DataFrame, large: bool) -> DataFrame:
-    """Link each node's neighbours to the least of them: the larger ones (large star), or the smaller ones and itself."""
+def _stars(work: Workspace, pairs: DataFrame, large: bool, name: str) -> DataFrame:
+    """Link each node's neighbours to the least of them: the larger ones (large star), or the smaller ones and itself.
+
+    The least neighbours are written before they are joined, so that Spark may split the join at a node with very many neighbours.
+    """
     both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where("v < u")
-    least = near.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
+    least = work.put(near.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u")), f"{name}-least")
     linked = near.join(least, "u")
     out = linked.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")) if large else linked.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(least.select("u", F.col("_m").alias("v")))
-    return out.where("u != v").distinct()
+    out = work.put(out.where("u != v").distinct(), name)
+    work.drop(f"{name}-least")
+    return out
 
 
 def _unsettled(pairs: DataFrame) -> DataFrame:
@@ -34,9 +39,8 @@ def components(work: Workspace, edges: DataFrame, name: str, most_rounds: int =
     for k in range(1, most_rounds + 1):
         if _unsettled(pairs).isEmpty():
             break
-        pairs = work.put(_stars(_stars(pairs, large=True), large=False), f"{name}-{k}")
-        if k > 1:
-            work.drop(f"{name}-{k - 2}")
+        pairs = _stars(work, _stars(work, pairs, True, f"{name}-{k}-large"), False, f"{name}-{k}")
+        work.drop(f"{name}-{k}-large", f"{name}-{k - 1}")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     # Stars now: every node but the roots points to its root.

@@ -160,13 +160,13 @@ def families(work: Workspace, sets: DataFrame, posted: DataFrame) -> DataFrame:
     common it joins the centre's family. A centre stays in its own unless the other has more followers.
     """
     centre = posted.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct((F.col("shared") / F.col("n")).alias("q"), "n", "s", "l")).alias("c")).where("m > 1").select("t", F.col("c.s").alias("v"), F.col("c.n").alias("nv"), F.col("c.l").alias("lv"))
-    # Written first: a join of two written tables may be split where a shingle is hot, one that shares an aggregation's shuffle may not.
+    # Written first, here and below: a join of two written tables may be split where a key is hot, one that shares an aggregation's shuffle may not.
     near = posted.join(work.put(centre, "centres"), "t").where("s != v").where(_enough("least(n, nv)", "n", "nv"))
     votes = work.put(near.groupBy("s", "v").agg(F.count(F.lit(1)).alias("k"), F.first(F.least("l", "lv")).alias("least")).where("k >= least"), "votes")
-    fame = votes.groupBy("v").agg(F.sum("k").alias("fame"), F.count(F.lit(1)).alias("m"))
+    fame = work.put(votes.groupBy("v").agg(F.sum("k").alias("fame")), "fame")
     best = votes.join(fame, "v").groupBy("s").agg(F.max(F.struct("fame", "v")).alias("c")).select(F.col("s").alias("u"), F.col("c.v").alias("v"))
     met = work.put(overlaps(sets, best).where("both * 2 >= nu"), "met")
-    fans = met.groupBy("v").agg(F.count(F.lit(1)).alias("fans"))
+    fans = work.put(met.groupBy("v").agg(F.count(F.lit(1)).alias("fans")), "fans")
     followers = met.join(fans, "v").select(F.col("u").alias("s"), F.struct("fans", F.col("v").alias("h"), "similar").alias("c"))
     centres = fans.select(F.col("v").alias("s"), F.struct("fans", F.col("v").alias("h"), F.lit(True).alias("similar")).alias("c"))
     return work.put(followers.unionByName(centres).groupBy("s").agg(F.max("c").alias("c")).select("s", "c.h", "c.similar"), "families")
@@ -241,7 +241,7 @@ def _cell(rows: list[dict], pairs: bool) -> list[tuple]:
     return [x for x in out if x[2]] + [(s, r, 0) for s, r in zip(sg.tolist(), root_g.tolist()) if s != r]
 
 
-def inside(family: DataFrame, sets: DataFrame, chosen: DataFrame, nodes: DataFrame, every: bool, pairs: bool = False) -> DataFrame:
+def inside(work: Workspace, family: DataFrame, sets: DataFrame, chosen: DataFrame, nodes: DataFrame, every: bool, pairs: bool = False) -> DataFrame:
     """Step 5: the links of each family, matched by prefixes and verified in cells of at most BLOCK x BLOCK sets.
 
     With ``every`` all members ask; else those that don't link to their centre, whose links may join components.
@@ -252,7 +252,7 @@ def inside(family: DataFrame, sets: DataFrame, chosen: DataFrame, nodes: DataFra
     whole = member.join(chosen, "s")
     size = whole.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.sum(F.col("asked").cast("long")).alias("m0"), F.sum(F.when(F.col("asked"), F.col("n"))).alias("volume0")).where("m > 1 and m0 > 0")
     blocks = lambda m, volume: F.expr(f"cast(ceil(greatest({m} / {BLOCK}D, {volume} / {BLOCK_TOKENS}D)) as int)")
-    size = size.select("h", blocks("m0", "volume0").alias("n0"), blocks("m", "volume").alias("n1"))
+    size = work.put(size.select("h", blocks("m0", "volume0").alias("n0"), blocks("m", "volume").alias("n1")), "cells")
     dealt = whole.join(size, "h").withColumn("o", F.expr("cast(pmod(xxhash64(s), n0) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(s), n1) as int)"))
     # A member asks in its row of cells and is given in its column; in one cell it does both.
     cells = """flatten(array(
@@ -339,7 +339,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, links: bool, name: str =
     """One row a row of ``df``: doc_id, x, n_shingles, class_id, n_links and first, the component's first (z, doc_id, x)."""
     j = _joined(df, id_col, text_col, name)
     work = j.work
-    within = work.put(inside(j.family, j.sets, j.chosen, j.nodes, links), "within")
+    within = work.put(inside(work, j.family, j.sets, j.chosen, j.nodes, links), "within")
     hubs = j.family.where("similar and s != h").select(F.col("s").alias("u"), F.col("h").alias("v"))
     edges = hubs.unionByName(j.across.select("u", "v")).unionByName(within.where("s != root").select(F.col("s").alias("u"), F.col("root").alias("v")))
     rooted = components(work, edges, "components")
@@ -354,7 +354,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str, links: bool, name: str =
         classed = classed.join(counts, "s", "left")
         n_links = F.col("rows") - 1 + F.coalesce("others", F.lit(0))
     classed = work.put(classed.withColumn("n_links", n_links).select("s", "keep", "root", "n_links"), "classed")
-    least = classed.groupBy("root").agg(F.min("keep").alias("first"))
+    least = work.put(classed.groupBy("root").agg(F.min("keep").alias("first")), "firsts")
     told = work.put(classed.join(least, "root").select("s", F.col("keep.doc_id").alias("class_id"), "first", "n_links"), "classes")
     full = j.digest.where("s != 0").join(told, "s").select("doc_id", "x", F.col("n").alias("n_shingles"), "class_id", "first", "n_links")
     alone = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "x").alias("first")
@@ -373,7 +373,7 @@ def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """class_a, class_b, shared, size_a, size_b: every link between different sets, by the sets' least identifiers. With class_id of
     ``near_classes`` as membership this is the whole join. As long as there are links: quadratic in a family."""
     j = _joined(df, id_col, text_col, "ngram-links")
-    within = inside(j.family, j.sets, j.chosen, j.nodes, True, pairs=True).select(F.col("s").alias("u"), F.col("root").alias("v"), F.col("others").alias("both"))
+    within = inside(j.work, j.family, j.sets, j.chosen, j.nodes, True, pairs=True).select(F.col("s").alias("u"), F.col("root").alias("v"), F.col("others").alias("both"))
     side = lambda s, x: j.nodes.select(F.col("s").alias(s), F.col("keep.doc_id").alias(f"class_{x}"), F.col("n").alias(f"size_{x}"))
     found = within.unionByName(j.across).join(side("u", "a"), "u").join(side("v", "b"), "v")
     return j.work.finish(found.select("class_a", "class_b", F.col("both").alias("shared"), "size_a", "size_b"))

@@ -186,7 +186,8 @@ def scored(work: Workspace, edges: DataFrame, rounds: int = 3, least_score: floa
     general pattern with very many instances is one row when it meets them.
     """
     asked = edges.groupBy("pattern").agg(F.max((~F.col("seed")).cast("int")).alias("asks"), F.count_distinct("value").alias("n")).where("asks = 1").select("pattern", "n")
-    edges = work.put(edges.join(asked, "pattern"), "asked")
+    # Both sides are written, so that Spark may split the join where a pattern is hot.
+    edges = work.put(edges.join(work.put(asked, "patterns"), "pattern"), "asked")
     unseen, scores = edges.where("not seed"), None
     for k in range(rounds):
         held = edges.withColumn("score", F.col("seed").cast("double"))

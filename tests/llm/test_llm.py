@@ -283,6 +283,33 @@ def test_mixing(docs, empty):
     assert mixing.apply_mix(empty).count() == 0
 
 
+def test_what_each_document_gives_to_the_mix(spark, docs):
+    mix = mixing.schedule(docs, block_words=32)
+    goal = {r._key: (r._goal, r.source_size) for r in mix.sources.collect()}
+    stream = defaultdict(list)
+    for r in mix.stream.collect():
+        stream[r._key].append((r.rank, r.start, r.size, r.doc_id))
+    want = Counter()
+    for key, rows in stream.items():
+        at, (words_wanted, total) = 0, goal[key]
+        for _, start, size, doc in sorted(rows):
+            assert start == at  # one stream, gapless
+            at += size
+            taken = 0 if not total else words_wanted // total * size + min(max(words_wanted % total - start, 0), size)
+            want[doc, size, taken] += 1
+        assert at == total
+    got = mixing.taken_words(mix).collect()
+    assert Counter((r.doc_id, r["size"], r.taken) for r in got) == want
+    # The order of slots: cells side by side, visited at their mirrored numbers.
+    slots = mix.slots.collect()
+    bits = max(1, (len(slots) - 1).bit_length())
+    cells = [r._key for r in sorted(slots, key=lambda r: int(format(r.position, f"0{bits}b")[::-1], 2))]
+    assert cells == sorted(cells) and len({r.position for r in slots}) == len(slots)
+    for key, rows in stream.items():
+        own = sorted((r.position, r.slot) for r in slots if r._key == key)
+        assert [s for _, s in own] == list(range(len(own)))
+
+
 def test_apply_mix_goes_by_source_and_text(spark):
     rows = [(1, "a b c d", "A"), (1, "w x y z", "B"), (1, "p q r s", "B"), (2, "one two", None), (2, "one two", None), (3, None, "A"), (None, "k l m n", "B")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -517,6 +544,23 @@ def test_classifier(spark, docs, empty, monkeypatch):
     assert 25 <= seen[0] <= 30
 
 
+def test_features_are_counts():
+    texts = ["", "One two, two!", "A b c\nA b c\nd | e", "é É ß 12", "x" * 300 + " " + "y" * 300, "  \n "]
+    got = gam.features([t.encode() for t in texts])
+    column = {name: got[:, k] for k, name in enumerate(gam.FEATURES)}
+    for k, t in enumerate(texts):
+        raw, ws, lines = t.encode(), WORD.findall(t), t.split("\n")
+        n = max(len(raw), 1)
+        pairs = {(a, b) for a, b in zip(ws, ws[1:])}
+        want = {
+            "upper": sum(65 <= b <= 90 for b in raw) / n, "lower": sum(97 <= b <= 122 for b in raw) / n, "digit": sum(48 <= b <= 57 for b in raw) / n, "line": raw.count(b"\n") / n, "bar": raw.count(b"|") / n,
+            "log_words": math.log1p(len(ws)), "word_length": sum(len(w.encode()) for w in ws) / max(len(ws), 1), "distinct_words": len(set(ws)) / max(len(ws), 1),
+            "capital_words": sum("A" <= w[0] <= "Z" for w in ws) / max(len(ws), 1), "distinct_lines": len(set(lines)) / len(lines), "distinct_pairs": (len(pairs) + 1) / max(len(ws), 1),
+        }
+        for name, value in want.items():
+            assert column[name][k] == pytest.approx(value), (name, t)
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
@@ -603,12 +647,14 @@ def test_pattern_graph_bootstraps(spark):
     rows += [(30 + i, f"{words(rng, 2)} reach the desk under 555 867 53{i:02} ok") for i in range(3)]  # a second context of theirs
     rows += [(40, "reach the desk under 555/111/2222 ok"), (41, "ask 555/999/0000 then"), (42, "card 1219538112535716 isn't one")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    work = Workspace(spark, "t")
+    new = lambda: Workspace(spark, "t")
+    work = new()
     got = {(r.value, r.kind): r.score for r in pii.scored(work, pii.graph(work, pii.scan(df))).collect()}
     want = brute_scores(rows)
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
-    found = {r.value for r in pii.discovered(work, pii.scan(df)).collect()}
+    found = {r.value for r in pii.discovered(new(), pii.scan(df)).collect()}
     assert {"5558675300", "5558675302", "5551112222"} <= found and not {"5559990000", "1219538112535716"} & found
+    work = new()
     once = {r.value for r in pii.scored(work, pii.graph(work, pii.scan(df)), rounds=1).collect()}
     assert "5558675300" in once and "5551112222" not in once
 
