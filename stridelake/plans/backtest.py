@@ -14,13 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.config import Config, check_workload, config_frame
 from ..operators.metrics import METRICS, summarise, undefined_to_null
+from ..session import checkpointed
 from ..sources.panels import stored
 
 #: Most bytes of a return matrix that is sent to every executor.
@@ -129,7 +129,7 @@ def bootstrap(
 
 
 def backtest(spark: SparkSession, returns: DataFrame, configs: list[Config], indices: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(weights, daily returns) of every configuration on the panel itself; both read one solution, which is persisted.
+    """(weights, daily returns) of every configuration on the panel itself; both read one solution, which is computed here.
 
     weights: config_idx, rb_seq, t_from, status, w array<double> (null if infeasible); daily: config_idx, t, port_ret.
     """
@@ -147,7 +147,7 @@ def backtest(spark: SparkSession, returns: DataFrame, configs: list[Config], ind
                 spans = [r[a - row.lookback : a - row.lookback + row.rebalance_every] for a in days]
                 yield pd.DataFrame({"config_idx": row.config_idx, "rb_seq": range(len(days)), "t_from": days, "status": np.where(ok, "ok", "infeasible"), "w": [x if good else None for x, good in zip(w, ok)], "r": spans})
 
-    solved = rows.mapInPandas(solve, "config_idx int, rb_seq int, t_from int, status string, w array<double>, r array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    solved = checkpointed(rows.mapInPandas(solve, "config_idx int, rb_seq int, t_from int, status string, w array<double>, r array<double>"))
     daily = solved.select("config_idx", "t_from", F.posexplode("r").alias("k", "port_ret")).select("config_idx", (F.col("t_from") + F.col("k")).alias("t"), F.when(~F.isnan("port_ret"), F.col("port_ret")).alias("port_ret"))
     return solved.drop("r"), daily
 

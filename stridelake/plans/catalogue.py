@@ -16,7 +16,7 @@ from ..operators import metrics as mt
 from ..operators import panel as pn
 from ..operators import portfolio as pf
 from ..operators import rolling as ro
-from ..session import shared_folder
+from ..session import checkpointed
 from ..sources.panels import LINEITEM_PANELS, price_panel
 from . import backtest as bt
 
@@ -42,21 +42,13 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema])
 
 
-def _fixed_table(df: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder: computed once however many branches of a query read it, and removed with its last reference."""
-    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def prices(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataFrame:
-    return _fixed_table(price_panel(spark, sf_dir, panel))
+    return checkpointed(price_panel(spark, sf_dir, panel))
 
 
 def returns(spark: SparkSession, sf_dir: str, panel: str = "brand_week") -> DataFrame:
     """The indexed returns of a panel; a panel that the cleaning empties gives none."""
-    return _fixed_table(pn.indexed(pn.log_returns(pn.clean_prices(prices(spark, sf_dir, panel)))))
+    return checkpointed(pn.indexed(pn.log_returns(pn.clean_prices(prices(spark, sf_dir, panel)))))
 
 
 # --- SQL fragments -------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Kernels are batched over problems, so one BLAS thread per Python worker is right.
 ENGINE_CONF = {
@@ -32,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the shared folder, however many branches of a query read it; removed with its last reference."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def build_session(app: str = "stridelake", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; ``conf`` (dots written as ``__``) overrides them."""
     builder = SparkSession.builder.appName(app).config(map=ENGINE_CONF)
