@@ -23,7 +23,7 @@ from ..session import shared_folder
 from ..sources import panels
 from . import backtest as bt
 from . import scaling
-from .catalogue import _CLEAN, _RETURNS, BLOCK, BOOTS, _config_series, _fixed, _metrics, _panel_sql, _query, _r, _sql, prices, returns, rounded
+from .catalogue import _CLEAN, _RETURNS, BLOCK, BOOTS, _config_series, _fixed, _metrics, _panel_sql, _query, _r, prices, returns, rounded
 from .catalogue import ORACLES as _ORACLES
 
 PANEL, LOOKBACK, EVERY = "type_week", 63, 21
