@@ -83,7 +83,7 @@ def test_exact_dedup(docs, empty):
 def test_merge_index_takes_further_memtables(spark, docs):
     rows = [(i, t) for i, t, *_ in corpus()]
     index = exact_dedup.new_index(spark)
-    parts = [[r for k, r in enumerate(rows) if k % 6 == j] for j in range(6)]
+    parts = [[r for k, r in enumerate(rows) if k % 5 == j] for j in range(5)]
     for j, part in enumerate(parts):
         index.add(spark.createDataFrame(part, "doc_id long, text string").repartition(3))
         assert sum(map(len, index.levels)) == (j + 1 if j < 3 else j - 2) and [len(x) for x in index.levels][-1] >= 1
