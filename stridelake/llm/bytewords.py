@@ -6,10 +6,14 @@ last: no algebra holds over positions, so no family of words collides by constru
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Space, tab, LF, VT, FF, CR.
 SPACE = np.zeros(256, bool)
@@ -87,14 +91,45 @@ def chained(hashes: list[np.ndarray]) -> np.ndarray:
 
 def batches(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together; a longer text stands alone."""
-    begin = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > most:
+    return _ranges(map(len, texts), most)
+
+
+def _ranges(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    begin = total = end = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
             yield begin, i
             begin, total = i, 0
-        total += len(text) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+        total += size + 1
+        end = i + 1
+    if begin < end:
+        yield begin, end
+
+
+def text_slices(batch: pa.RecordBatch, column: pa.Array, most: int = 500_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """``batch`` in slices of about ``most`` bytes of ``column``, each with its texts (null: empty): only a slice's are Python objects."""
+    column = column.cast(pa.large_binary())
+    for i, j in _ranges(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most):
+        yield batch.slice(i, j - i), [v or b"" for v in column.slice(i, j - i).to_pylist()]
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # glibc's
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system: a worker idles on through later stages, beside the JVM's peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def returning(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``stream``, giving memory back after each batch and at the end."""
+    for batch in stream:
+        yield batch
+        del batch
+        give_back()
+    give_back()
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

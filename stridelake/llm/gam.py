@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytewords import Spans, batches, joined, mix, words
+from .bytewords import Spans, joined, mix, returning, text_slices, words
 from .shared import Workspace
 
 MAX_ROWS = 20_000
@@ -199,10 +199,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [v or b"" for v in column.cast(pa.large_binary()).to_pylist()]
-
-
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, **options) -> AdditiveModel:
     """Fit on at most ``max_rows`` labelled rows that aren't held out; the driver gets their features, never texts."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -211,12 +207,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "_label", "_text")
 
     def describe(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            texts = _texts(batch.column(2))
-            for i, j in batches(texts):
-                x = features(texts[i:j])
+        for batch in returning(stream):
+            for part, texts in text_slices(batch, batch.column(2)):
+                x = features(texts)
                 wide = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), wide], names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), wide], names=["doc_id", "label", "x"])
 
     # One row an identifier, however many documents repeat it: the driver gets at most ``max_rows``.
     described = rows.mapInArrow(describe, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, label double, x array<double>")
@@ -233,11 +228,9 @@ def scored(df: DataFrame, model: AdditiveModel, text_col: str = "text", score_co
     place = df.columns.index(text_col)
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            rows = batch.column(0)
-            texts = _texts(rows.field(place))
-            for i, j in batches(texts):
-                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), pa.array(model.score(features(texts[i:j])))], names=["_row", "_score"])
+        for batch in returning(stream):
+            for part, texts in text_slices(batch, batch.column(0).field(place)):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(texts)))], names=["_row", "_score"])
 
     out = wide.mapInArrow(score, schema)
     return out.select("_row.*", F.col("_score").alias(score_col)) if score_col not in df.columns else out.select(*[F.col("_row")[c].alias(c) for c in df.columns if c != score_col], F.col("_score").alias(score_col))

@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, SPACE, Spans, batches, chained, joined, mix, words
+from .bytewords import LOWER, SPACE, Spans, chained, give_back, joined, mix, returning, text_slices, words
 from .components import components
-from .shared import Workspace, flagged, key_filter
+from .shared import BATCH_ROWS, Workspace, flagged, key_filter
 
 SIMILARITY = Fraction(4, 5)
 SHINGLE = 5
@@ -88,11 +88,10 @@ def _sets(df: DataFrame, id_col: str, text_col: str, columns: str, share: Fracti
     limit = np.uint64(min(2**64 - 1, int(2**64 * share))) if share else None
 
     def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            texts = batch.column(1).to_pylist()
-            for i, j in batches(texts):
-                hashes, starts = shingle_sets(texts[i:j])
-                out = {"doc_id": batch.column(0).slice(i, j - i), "x": batch.column(2).slice(i, j - i), "n": pa.array(np.diff(starts), pa.int64()), "s": pa.array(signatures(hashes, starts))}
+        for batch in returning(stream):
+            for part, texts in text_slices(batch, batch.column(1)):
+                hashes, starts = shingle_sets(texts)
+                out = {"doc_id": part.column(0), "x": part.column(2), "n": pa.array(np.diff(starts), pa.int64()), "s": pa.array(signatures(hashes, starts))}
                 if "tokens" in names:
                     if limit is not None:
                         small = hashes < limit
@@ -269,7 +268,7 @@ def inside(work: Workspace, family: DataFrame, sets: DataFrame, chosen: DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["s", "root", "others"])
                 out.clear()
 
-        for batch in stream:
+        for batch in returning(stream):
             plain = {c: batch.column(c).to_pylist() for c in ("h", "i", "j", "asked", "given", "s", "n", "own", "l", "rows")}
             lists = {}
             for c in ("pre", "tokens"):
@@ -284,7 +283,9 @@ def inside(work: Workspace, family: DataFrame, sets: DataFrame, chosen: DataFram
                     yield from done(False)
                 held.append({c: x[k] for c, x in plain.items()} | {c: x[k] for c, x in lists.items()})
         out += _cell(held, pairs)
+        held = []
         yield from done(True)
+        give_back()
 
     return rows.mapInArrow(read, "s long, root long, others long")
 
@@ -319,7 +320,7 @@ class _Join:
 
 
 def _joined(df: DataFrame, id_col: str, text_col: str, name: str) -> _Join:
-    work = Workspace(df.sparkSession, name)
+    work = Workspace(df.sparkSession, name, batch_rows=BATCH_ROWS)
     digest = work.put(_sets(df, id_col, text_col, "doc_id x n s"), "digest")
     # A null identifier comes after all others.
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "x")

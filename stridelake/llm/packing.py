@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LOWER, Spans, batches, gather, joined
-from .shared import Workspace, ranked
+from .bytewords import LOWER, Spans, gather, joined, returning, text_slices
+from .shared import BATCH_ROWS, Workspace, ranked
 
 END = 0
 #: Distinct words that a worker keeps the ids of, at about 150 bytes each.
@@ -136,22 +136,21 @@ def pieces(df: DataFrame, tokenizer: str | None = None, max_tokens: int = 2048,
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokenised(path), np.array([END], "<u4")
-        for batch in stream:
-            texts = batch.column(1).to_pylist()
-            for i, j in batches(texts):
+        for batch in returning(stream):
+            for rows, texts in text_slices(batch, batch.column(1)):
                 who, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, got in enumerate(encoder.encode(texts[i:j])):
+                for k, got in enumerate(encoder.encode(texts)):
                     tokens = np.concatenate((got.astype("<u4", copy=False), end))
                     for p, at in enumerate(range(0, len(tokens), max_tokens)):
                         part = tokens[at : at + max_tokens]
-                        who.append(i + k)
+                        who.append(k)
                         piece.append(p)
                         start.append(at)
                         length.append(len(part))
                         crc.append(zlib.crc32(part.tobytes()))
                         if with_ids:
                             ids.append(part.astype(np.int32))
-                columns = [batch.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                columns = [rows.column(0).take(pa.array(who, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
@@ -222,7 +221,9 @@ def pack_pieces(work: Workspace, cut: DataFrame, max_tokens: int = 2048) -> Data
     spark = cut.sparkSession
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most max_tokens rows
     runs, _ = plan_best_fit(histogram, max_tokens)
-    plan = spark.createDataFrame([(r.length, r.rank0, r.rank0 + r.count - 1, r.per_sequence, r.sequence0, r.offset0) for r in runs], "length long, _r0 long, _r1 long, _per long, _s0 long, _o0 long")
+    rows = np.array([(r.length, r.rank0, r.rank0 + r.count - 1, r.per_sequence, r.sequence0, r.offset0) for r in runs], np.int64).reshape(-1, 6)
+    # As an Arrow table: rows of Python objects would start further Python workers on the executors, only to be read.
+    plan = spark.createDataFrame(pa.table(list(rows.T), names=["length", "_r0", "_r1", "_per", "_s0", "_o0"]))
     order = ranked(cut, ["length"], F.xxhash64("doc_id", "piece", "ids_crc32"), [F.col("doc_id"), F.col("piece")], rank="_rank")
     if len(runs) < 200_000:  # some MB at most; the number depends on max_tokens
         plan = F.broadcast(plan)
@@ -238,6 +239,6 @@ def pack_pieces(work: Workspace, cut: DataFrame, max_tokens: int = 2048) -> Data
 
 def pack_documents(df: DataFrame, tokenizer: str | None = None, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset."""
-    work = Workspace(df.sparkSession, "packing")
+    work = Workspace(df.sparkSession, "packing", batch_rows=BATCH_ROWS)
     cut = work.put(pieces(df, tokenizer, max_tokens, id_col, text_col, with_ids), "pieces")
     return work.finish(pack_pieces(work, cut, max_tokens))

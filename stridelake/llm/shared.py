@@ -7,10 +7,11 @@ costs a reread and never a recomputation of nondeterministic values.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,9 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 #: By the pigeonhole principle at most this many keys hold 1/HEAVY_KEYS of all rows each.
 HEAVY_KEYS = 4096
+#: Texts of a batch that a Python worker gets: some MB, in place of a whole task's rows, which the JVM and the worker hold twice each.
+BATCH_ROWS = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,10 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables of one operator run. ``finish`` keeps the result and removes the rest."""
+    """Tables of one operator run. ``finish`` keeps the result and removes the rest. Python workers get ``batch_rows`` rows at once while a table is written."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch_rows: int | None = None):
         self.spark = spark
+        self.batch_rows = batch_rows
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.held: list[str] = []
         atexit.register(self._delete, self.path)
@@ -58,11 +63,24 @@ class Workspace:
         """Write once, read back: cuts lineage and fixes nondeterministic values."""
         df = self._nameable(df)
         to = f"{self.path}/{name}"
-        df.write.options(**({"compression": "zstd"} | options)).partitionBy(*partition_by).parquet(to)
+        with self._batched():
+            df.write.options(**({"compression": "zstd"} | options)).partitionBy(*partition_by).parquet(to)
         if name not in self.held:
             self.held.append(name)
         return self.spark.read.schema(df.schema).parquet(to)
 
+    @contextlib.contextmanager
+    def _batched(self) -> Iterator[None]:
+        before = int(self.spark.conf.get(_ARROW_ROWS))
+        if not self.batch_rows or 0 < before <= self.batch_rows:
+            yield
+            return
+        self.spark.conf.set(_ARROW_ROWS, self.batch_rows)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_ARROW_ROWS, before)
+
     @staticmethod
     def _nameable(df: DataFrame) -> DataFrame:
         return df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema if isinstance(f.dataType, T.NullType)}) if any(isinstance(f.dataType, T.NullType) for f in df.schema) else df

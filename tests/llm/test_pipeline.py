@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +98,29 @@ def test_run_equals_its_stages(spark, odd):
         docs = stage(spark, docs, odd)
     places = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(map(tuple, rows.select(*places).collect())) == Counter(map(tuple, docs.select(*places).collect()))
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory can't be read here")
+def test_idle_workers_hold_no_garbage(spark):
+    """After a stage a Python worker waits for the next one, beside the JVM: what its task took must be given back."""
+    from stridelake.llm import gam, ngram_join, packing
+
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 250), i -> conv((id * 37 + i * i) % 40000, 10, 36)))").alias("text")).coalesce(1).persist()
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    held = {}
+
+    def look(stream):
+        for _ in stream:
+            pass
+        own = re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [int(own) // 1024]})
+
+    def idle():
+        return max(r.mb for r in spark.range(0, 4, 1, 4).mapInArrow(look, "pid long, mb long").collect())
+
+    before = idle()
+    for name, df in (("classifier", gam.scored(docs, gam.train(docs, labels))), ("sets", ngram_join._sets(docs, "doc_id", "text", "doc_id n s tokens")), ("pieces", packing.pieces(docs))):
+        df.write.format("noop").mode("overwrite").save()
+        held[name] = idle() - before
+    docs.unpersist()
+    assert max(held.values()) < 100, held
